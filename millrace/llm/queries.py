@@ -6,12 +6,69 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import partenum
+from . import mixing, partenum
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), share=1.5, most=2, block=16, seed=17).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP1_SQL = r"""
+with sized as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size, md5('17:' || coalesce(cast(doc_id as varchar), 'null')) as code from documents),
+src as (
+  select source, cast(sum(size) as bigint) as source_size, count(*) as n, [3, 1, 2][(row_number() over (order by source nulls last) - 1) % 3 + 1] as weight
+  from sized group by source),
+run as (
+  select *, coalesce(sum(source_size) over o, 0)::double as filled, coalesce(sum(weight) over o, 0)::double as light, (sum(source_size) over ())::double as size, (sum(weight) over ())::double as weights
+  from src window o as (order by source_size / weight, source nulls last rows between unbounded preceding and 1 preceding)),
+lev as (select *, (1.5::double * size - 2::double * filled) / (weights - light) as level from run),
+stop as (select *, level * weight >= 2 * source_size as stops from lev),
+tgt as (
+  select source, source_size, least(4096, ceil(n / 128.0))::bigint as shards,
+    case when stops then 2::double * source_size else max(case when not stops then level end) over () * weight end as target
+  from stop),
+narrow as (
+  select d.doc_id, d.source, d.size, d.code, t.source_size, t.target, ('0x' || substr(d.code, 1, 8))::bigint % t.shards as shard
+  from sized d join tgt t on d.source is not distinct from t.source),
+sh as (
+  select source, shard, sum(size)::bigint as shard_size, any_value(source_size) as source_size, any_value(target) as target, ceil(sum(size) / 16.0)::bigint as blocks from narrow group by source, shard),
+bs as (
+  select source, any_value(source_size) as source_size, floor(any_value(target) * 1024)::bigint as vote, sum(blocks)::bigint as blocks from sh group by source),
+bq as (
+  select *, floor((sum(source_size) over ()) * 1.5::double / 16 + 0.5)::bigint as seats, vote * floor((sum(source_size) over ()) * 1.5::double / 16 + 0.5)::bigint / greatest(1, sum(vote) over ())::double as q from bs),
+bseat as (
+  select source, vote, seats, unnest(range(greatest(1, floor(q)::bigint - 50), least(2 * blocks, floor(q)::bigint + 50) + 1)) as seat from bq where vote > 0),
+brank as (
+  select *, row_number() over (order by vote / (2.0::double * seat - 1) desc, source nulls last, seat) + (select coalesce(sum(greatest(1, floor(q)::bigint - 50) - 1), 0) from bq where vote > 0) as nth from bseat),
+bquota as (select source, max(seat) as quota from brank where nth <= seats group by source),
+hq as (
+  select h.*, coalesce(b.quota, 0) as seats, h.shard_size * coalesce(b.quota, 0)::double / greatest(1, sum(h.shard_size) over (partition by h.source)) as q
+  from sh h left join bquota b on h.source is not distinct from b.source),
+hseat as (
+  select source, shard, shard_size, seats, greatest(1, floor(q)::bigint - 50) as low, unnest(range(greatest(1, floor(q)::bigint - 50), least(2 * blocks, floor(q)::bigint + 50) + 1)) as seat from hq where shard_size > 0),
+hlow as (select source, sum(low - 1) as before from (select distinct source, shard, low from hseat) group by source),
+hrank as (
+  select s.*, row_number() over (partition by s.source order by shard_size / (2.0::double * seat - 1) desc, shard, seat) + l.before as nth
+  from hseat s join hlow l on s.source is not distinct from l.source),
+hquota as (select source, shard, max(seat) as quota from hrank where nth <= seats group by source, shard),
+place as (
+  select h.source, h.shard, h.blocks, h.shard_size, coalesce(k.quota, 0) as quota,
+    case when h.blocks > 0 then ('0x' || substr(md5('17:' || coalesce(h.source, '') || ':' || h.shard), 1, 8))::bigint % h.blocks else 0 end as first
+  from sh h left join hquota k on h.source is not distinct from k.source and h.shard = k.shard),
+laid as (
+  select n.*, p.blocks, p.shard_size, p.first, p.quota, sum(n.size) over (partition by n.source, n.shard order by n.code, n.doc_id, n.size rows unbounded preceding) as e,
+    case when p.blocks > 0 then p.quota % p.blocks else 0 end as rest, case when p.blocks > 0 then p.quota // p.blocks else 0 end as turns
+  from narrow n join place p on n.source is not distinct from p.source and n.shard = p.shard)
+select doc_id, size::bigint as size, source_size, target,
+  (size * turns + greatest(0, least(e, (first + rest) * 16, shard_size) - greatest(e - size, first * 16)) + greatest(0, least(e, greatest(0, first + rest - blocks) * 16) - (e - size)))::bigint as taken
+from laid
+"""
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.jaccard_components(table(spark, sf_dir, "documents"), num=9, den=10, width=3)
 
@@ -36,11 +93,13 @@ select n.doc_id, n.n as n_shingles, min(reach.b) as component_id from n join rea
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_mixing": op1_mixing,
         "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_mixing": OP1_SQL,
         "op3_ngram_jaccard_join": OP3_SQL,
     }
