@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, partenum
+from . import mixing, partenum, wacz
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,10 +91,24 @@ select n.doc_id, n.n as n_shingles, min(reach.b) as component_id from n join rea
 """
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wacz.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP7_SQL = """
+with p as (select page_id, octet_length(encode(coalesce(html, ''))) as n, sha1(coalesce(html, '')) as d from pages),
+f as (select *, max(page_id) over (partition by d) as first from p)
+select page_id, n::bigint as payload_bytes, d as payload_digest, case when n >= 1000 and first <> page_id then 'revisit' else 'response' end as record_type,
+  case when n >= 1000 and first <> page_id then first end as refers_to
+from f
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_mixing": op1_mixing,
         "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+        "op7_warc": op7_warc,
     }
 
 
@@ -102,4 +116,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_mixing": OP1_SQL,
         "op3_ngram_jaccard_join": OP3_SQL,
+        "op7_warc": OP7_SQL,
     }
