@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, partenum, wacz
+from . import maglev, mixing, partenum, tokens, wacz
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,6 +91,15 @@ select n.doc_id, n.n as n_shingles, min(reach.b) as component_id from n join rea
 """
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), rule="most")
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = [f"shard-{i:03d}" for i in range(64)]
+    return maglev.place(table(spark, sf_dir, "documents").select("doc_id", "text"), shards).select("doc_id", "slot", "shard")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wacz.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -108,6 +117,8 @@ def queries() -> dict[str, Query]:
     return {
         "op1_mixing": op1_mixing,
         "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+        "op4_token_counts": op4_token_counts,
+        "op6_sharding": op6_sharding,
         "op7_warc": op7_warc,
     }
 
