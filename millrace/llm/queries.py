@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import maglev, mixing, partenum, tokens, wacz
+from . import maglev, mixing, partenum, spiece, tokens, wacz
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -104,6 +104,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wacz.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spiece.digest(table(spark, sf_dir, "documents"))
+
+
 OP7_SQL = """
 with p as (select page_id, octet_length(encode(coalesce(html, ''))) as n, sha1(coalesce(html, '')) as d from pages),
 f as (select *, max(page_id) over (partition by d) as first from p)
@@ -120,6 +124,7 @@ def queries() -> dict[str, Query]:
         "op4_token_counts": op4_token_counts,
         "op6_sharding": op6_sharding,
         "op7_warc": op7_warc,
+        "op9_sentencepiece": op9_sentencepiece,
     }
 
 
