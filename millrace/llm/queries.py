@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import maglev, mixing, partenum, spiece, tokens, wacz
+from . import maglev, mixing, partenum, pivots, spiece, tokens, wacz
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -117,6 +117,21 @@ from f
 """
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.95)
+
+
+OP10_SQL = """
+with recursive v as (
+  select vec_id, embedding::double[] as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.95),
+reach as (select vec_id as a, vec_id as b from embeddings union select reach.a, links.b from reach join links on links.a = reach.b),
+n as (select a, count(*) as n from links group by a)
+select r.a as vec_id, coalesce(any_value(n.n), 0)::bigint as n_links, min(r.b) as component_id, r.a = min(r.b) as kept from reach r left join n on n.a = r.a group by r.a
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_mixing": op1_mixing,
@@ -125,6 +140,7 @@ def queries() -> dict[str, Query]:
         "op6_sharding": op6_sharding,
         "op7_warc": op7_warc,
         "op9_sentencepiece": op9_sentencepiece,
+        "op10_embedding_near_dedup": op10_embedding_near_dedup,
     }
 
 
@@ -133,4 +149,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_mixing": OP1_SQL,
         "op3_ngram_jaccard_join": OP3_SQL,
         "op7_warc": OP7_SQL,
+        "op10_embedding_near_dedup": OP10_SQL,
     }
