@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import maglev, mixing, partenum, pivots, spiece, tokens, wacz
+from . import maglev, mixing, partenum, pii, pivots, spiece, tokens, wacz
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,6 +95,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), rule="most")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_spans(table(spark, sf_dir, "documents")).drop("added")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = [f"shard-{i:03d}" for i in range(64)]
     return maglev.place(table(spark, sf_dir, "documents").select("doc_id", "text"), shards).select("doc_id", "slot", "shard")
@@ -137,6 +141,7 @@ def queries() -> dict[str, Query]:
         "op1_mixing": op1_mixing,
         "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
         "op4_token_counts": op4_token_counts,
+        "op5_pii": op5_pii,
         "op6_sharding": op6_sharding,
         "op7_warc": op7_warc,
         "op9_sentencepiece": op9_sentencepiece,

@@ -50,7 +50,7 @@ def test_whole_table(spark):
     assert got == brute(list(ids), list(vectors))
 
 
-@pytest.mark.parametrize("sf", ["sf0.1", "check_h"])
+@pytest.mark.parametrize("sf", ["check_s", "check_h"])
 def test_recall(sf):
     import os
 
