@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import maglev, mixing, partenum, pii, pivots, spiece, tokens, wacz
+from . import langid, maglev, mixing, partenum, pii, pivots, spiece, tokens, wacz
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +69,14 @@ from laid
 """
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_documents(table(spark, sf_dir, "documents"))
+
+
+def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_pages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents")).withColumnRenamed("doc_id", "page_id")
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.jaccard_components(table(spark, sf_dir, "documents"), num=9, den=10, width=3)
 
@@ -139,6 +147,8 @@ select r.a as vec_id, coalesce(any_value(n.n), 0)::bigint as n_links, min(r.b) a
 def queries() -> dict[str, Query]:
     return {
         "op1_mixing": op1_mixing,
+        "op2_language_id": op2_language_id,
+        "language_id_pages": language_id_pages,
         "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
         "op4_token_counts": op4_token_counts,
         "op5_pii": op5_pii,
