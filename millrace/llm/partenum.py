@@ -11,11 +11,11 @@ Sets that share no signature cannot be linked, so no link is lost.
 Shared signatures give candidates; the parity of each set in 512 hash cells
 gives a lower bound of the symmetric difference that removes most of them
 without reading texts; the others are verified on whole texts. Candidates are
-drawn in three passes (the least document of a bucket, a pseudo-random one, and
-at last all pairs of a bucket that lie in different components), so a group of
-copies costs a star and not a clique, while no link between components is
-missed: after the last pass every pair of a bucket is either in one component
-or was compared.
+drawn in two passes (each document of a bucket with the least one and with one
+that comes first in one of a few pseudo-random orders; then all pairs of a
+bucket that lie in different components), so a group of copies costs a few
+stars and not a clique, while no link between components is missed: after the
+last pass every pair of a bucket is either in one component or was compared.
 """
 
 from __future__ import annotations
@@ -27,13 +27,14 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U64, components, mix64, settle, shingle_sets, slices, utf8
 
 CELLS = 8
 SEEN = 200_000
+ORDERS = 8
 
 
 class Bands:
@@ -185,50 +186,36 @@ def jaccard_components(docs: DataFrame, num: int = 9, den: int = 10, width: int
     ``docs``, whatever their names, are ignored. An empty table gives an empty
     result. Texts are processed whole.
     """
-    spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     run, schema = _describe(Bands(num, den), width)
     known = settle(texts.mapInArrow(run, schema), "shingles")
-    some = known.where("n_shingles > 0 and doc_id is not null")
-    rep = some.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("a"))
+    # One document stands for each distinct set: its node.
+    keys = ["h1", "h2", "n_shingles"]
+    rep = known.where("n_shingles > 0 and doc_id is not null").groupBy(*keys).agg(F.min("doc_id").alias("node"))
+    full = known.drop("sigs").join(rep, keys, "left").withColumn("node", F.when(F.col("doc_id").isNotNull(), F.col("node")))
+    full = settle(full, "nodes")
+    facts = full.where("doc_id = node").select("node", F.col("n_shingles").alias("n"), *PARITY).dropDuplicates(["node"])
 
     # Only buckets of at least two documents go on; a bucket streams through a spillable sort.
-    rows = some.select(F.explode("sigs").alias("sig"), "doc_id")
-    by_sig = "partition by sig"
-    bucket = settle(
-        rows.select("sig", "doc_id", F.expr(f"min(doc_id) over ({by_sig})").alias("hub"), F.expr(f"max(doc_id) over ({by_sig})").alias("last"), F.expr(f"min_by(doc_id, xxhash64(sig, doc_id)) over ({by_sig})").alias("other"))
-        .where("hub < last")
-        .drop("last"),
-        "buckets",
-    )
-    # One document stands for each distinct set; parity and size come from it.
-    nodes = some.drop("sigs").join(rep, ["h1", "h2", "n_shingles"]).select("doc_id", F.col("a").alias("node"), F.col("n_shingles").alias("n"), *PARITY)
-    nodes = settle(nodes.join(bucket.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "nodes")
-    same = some.join(rep, ["h1", "h2", "n_shingles"]).where("doc_id <> a").select("a", F.col("doc_id").alias("b"))
-
-    def sided(pairs: DataFrame, side: str, comp: DataFrame | None) -> DataFrame:
-        info = nodes.select(F.col("doc_id").alias(side), F.col("node").alias(f"{side}_node"), F.col("n").alias(f"{side}_n"), *(F.col(p).alias(f"{side}_{p}") for p in PARITY))
-        out = pairs.join(info, side)
-        if comp is not None:
-            out = out.join(comp.select(F.col("id").alias(f"{side}_node"), F.col("component").alias(f"{side}_c")), f"{side}_node", "left").withColumn(f"{side}_c", F.coalesce(f"{side}_c", f"{side}_node"))
-        return out
-
-    def near(pairs: DataFrame, comp: DataFrame | None) -> DataFrame:
-        """Distinct node pairs (a, b) of document pairs (x, y) that may be similar and that ``comp`` has apart."""
-        out = sided(sided(pairs, "x", comp), "y", comp).where("x_node <> y_node")
-        if comp is not None:
-            out = out.where("x_c <> y_c")
-        return out.where(_close(num, den)).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
+    rows = known.where("doc_id is not null").select(F.explode("sigs").alias("sig"), "doc_id")
+    by_sig = Window.partitionBy("sig")
+    shared = rows.withColumn("lo", F.min("doc_id").over(by_sig)).withColumn("hi", F.max("doc_id").over(by_sig)).where("lo < hi").select("sig", "doc_id")
+    placed = shared.join(full.where("node is not null").select("doc_id", "node").dropDuplicates(["doc_id"]), "doc_id").select("sig", "node")
+    order = F.xxhash64(F.pmod("sig", F.lit(ORDERS).cast("long")), "node")
+    bucket = placed.repartition("sig").dropDuplicates(["sig", "node"]).withColumn("hub", F.min("node").over(by_sig)).withColumn("other", F.min_by("node", order).over(by_sig))
+    bucket = settle(bucket.withColumn("hi", F.max("node").over(by_sig)).where("hub < hi").drop("hi"), "buckets")
+
+    def facts_of(side: str) -> DataFrame:
+        return facts.select(F.col("node").alias(f"{side}_id"), F.col("n").alias(f"{side}_n"), *(F.col(p).alias(f"{side}_{p}") for p in PARITY))
 
     def apart(comp: DataFrame) -> DataFrame:
         """Node pairs of a bucket that may be similar and that ``comp`` has apart; buckets of one component are left out first."""
-        info = nodes.withColumnRenamed("node", "id").join(comp, "id", "left").select("doc_id", "id", F.coalesce("component", "id").alias("c"), "n", *PARITY)
-        held = bucket.select("sig", "doc_id").join(info.select("doc_id", "id", "c"), "doc_id").select("sig", "id", "c").distinct()
-        mixed = held.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("sig")
-        left = held.join(mixed, "sig", "left_semi").join(info.drop("doc_id", "c").dropDuplicates(["id"]), "id")
-        x, y = (left.select("sig", *(F.col(c).alias(f"{side}_{c}") for c in ("id", "c", "n", *PARITY))) for side in "xy")
-        match = (F.col("x_id") < F.col("y_id")) & (F.col("x_c") != F.col("y_c")) & _close(num, den)
-        return x.withColumnRenamed("sig", "x_sig").join(y, (F.col("x_sig") == F.col("sig")) & match).select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct()
+        held = bucket.select("sig", F.col("node").alias("id")).join(comp, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+        held = held.repartition("sig").withColumn("lo", F.min("c").over(by_sig)).withColumn("hi", F.max("c").over(by_sig)).where("lo < hi").select("sig", "id", "c")
+        left = held.join(facts.withColumnRenamed("node", "id"), "id")
+        x, y = (left.select(*(F.col(c).alias(f"{side}_{c}") for c in ("sig", "id", "c", "n", *PARITY))) for side in "xy")
+        match = (F.col("x_sig") == F.col("y_sig")) & (F.col("x_id") < F.col("y_id")) & (F.col("x_c") != F.col("y_c")) & _close(num, den)
+        return x.join(y, match).select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct()
 
     def verified(pairs: DataFrame) -> DataFrame:
         # the same exchange of texts by doc_id serves both joins
@@ -236,19 +223,21 @@ def jaccard_components(docs: DataFrame, num: int = 9, den: int = 10, width: int
         both = with_a.join(texts, "doc_id").select("a", F.col("doc_id").alias("b"), "ta", F.col("text").alias("tb"))
         return both.mapInArrow(_verify(num, den, width), "a long, b long").distinct()
 
-    hubs = bucket.where("doc_id <> hub").select(F.col("hub").alias("x"), F.col("doc_id").alias("y")).distinct()
-    found = settle(near(hubs, None), "pairs")
-    comp = settle(components(found), "groups")
-    others = bucket.where("doc_id <> other").select(F.col("other").alias("x"), F.col("doc_id").alias("y")).distinct()
-    found = settle(found.unionByName(near(others, comp)).distinct(), "pairs")
+    ends = F.array(F.struct(F.least("hub", "node").alias("x_id"), F.greatest("hub", "node").alias("y_id")), F.struct(F.least("other", "node").alias("x_id"), F.greatest("other", "node").alias("y_id")))
+    stars = bucket.select(F.explode(ends).alias("e")).select("e.*").where("x_id < y_id").distinct()
+    found = stars.join(facts_of("x"), "x_id").join(facts_of("y"), "y_id").where(_close(num, den)).select(F.col("x_id").alias("a"), F.col("y_id").alias("b"))
+    found = settle(found, "pairs")
     comp = settle(components(found), "groups")
-    found = settle(found.unionByName(apart(comp)).distinct(), "pairs")
-    links = settle(verified(found), "links")
-    if links.count() < found.count():  # a bound let a pair through: look again between the components that remain
-        comp = settle(components(links), "groups")
-        more = apart(comp).join(found, ["a", "b"], "left_anti")
+    more = settle(apart(comp), "pairs")
+    links = settle(verified(found.unionByName(more)), "links")
+    if links.count() < found.count() + more.count():  # a bound let a pair through: look again between the components that remain
+        tried = found.unionByName(more)
+        more = apart(settle(components(links), "groups")).join(tried, ["a", "b"], "left_anti")
         links = links.unionByName(settle(verified(more), "links"))
-    groups = settle(components(links.unionByName(same)), "groups")
-    return known.select("doc_id", "n_shingles").join(groups.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
-    )
+        groups = components(links)
+    elif more.isEmpty():
+        groups = comp
+    else:
+        groups = components(links)
+    groups = groups.withColumnRenamed("id", "node")
+    return full.join(groups, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node", "doc_id").alias("component_id"))
