@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, maglev, mixing, partenum, pii, pivots, spiece, tokens, wacz
+from . import chroma, langid, maglev, mixing, partenum, pii, pivots, spiece, tokens, wacz
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -116,6 +116,11 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wacz.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no recordings, so each embedding is rendered as one; near-duplicate embeddings sound alike."""
+    return chroma.align(chroma.render_embeddings(table(spark, sf_dir, "embeddings"))).withColumnsRenamed({"id": "vec_id"})
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spiece.digest(table(spark, sf_dir, "documents"))
 
@@ -154,6 +159,7 @@ def queries() -> dict[str, Query]:
         "op5_pii": op5_pii,
         "op6_sharding": op6_sharding,
         "op7_warc": op7_warc,
+        "op8_audio_fingerprints": op8_audio_fingerprints,
         "op9_sentencepiece": op9_sentencepiece,
         "op10_embedding_near_dedup": op10_embedding_near_dedup,
     }
