@@ -147,7 +147,7 @@ def render_embeddings(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(run, "id long, prints array<long>")
 
 
-def align(prints: DataFrame, every: int = 20, agree: int = 1, most_errors: float = 0.15, least_overlap: int = 20, salts: int = 8) -> DataFrame:
+def align(prints: DataFrame, every: int = 20, agree: int = 1, most_errors: float = 0.12, least_overlap: int = 20, salts: int = 8) -> DataFrame:
     """Recordings aligned with the query recordings, of ``prints(id, prints)``; queries are the ids divisible by ``every``.
 
     Rows (id, class_id, match_id, offset, overlap, error): every recording has
