@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.plans import governance, graph, retrieval, streams, tabular, text
+
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES: list = []
+MODULES = (tabular, text, retrieval, graph, governance, streams)
 
 
 def queries() -> dict[str, Query]:
