@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -341,8 +342,6 @@ def resolve(asked: DataFrame, entities: DataFrame, aliases: DataFrame | None = N
     aliases the smallest key. The fuzzy stage scores only what the exact
     stages left, and only names that share a word or a prefix of three letters.
     """
-    import pandas as pd
-
     fold = lambda c: F.lower(F.trim(F.regexp_replace(F.regexp_replace(c, "['’]", ""), r"\s+", " ")))
     q = asked.select("query", fold(F.col("query")).alias("q")).distinct()
     e = entities.select("key", "name", fold(F.col("name")).alias("n"), "alt_names")

@@ -50,7 +50,7 @@ def chat_window_8(spark, d):
 def memory_keywords(spark, d):
     words = ["the", "de", "que"]
     lines = read(spark, d, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", r"[.?!]")).alias("pos", "line")).withColumn("line", F.trim("line"))
-    hit = lines.where(F.lower("line").rlike(r"\b(" + "|".join(words) + r")\b"))
+    hit = lines.where(F.lower("line").rlike("(^|[^a-z])(" + "|".join(words) + ")([^a-z]|$)"))
     nth = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn"), "pos"))
     return hit.withColumn("n", nth).where("n <= 5").select("conv_id", "turn", "pos", F.md5("line").alias("line_hash"))
 
@@ -109,7 +109,7 @@ ORACLES = {
     "firewall_scan": "with h as (select conv_id, turn, list_filter([" + ", ".join(_HITS) + f"], lambda x: x is not null) as h from {TURNS}) select conv_id, turn, len(list_filter(h, lambda x: x.a = 'block')) = 0 as ok, list_filter(h, lambda x: x.a = 'block')[1].m as reason, array_to_string(list_transform(h, lambda x: x.a), ',') as actions from h",
     "url_policy": "with h as (select page_id, url, regexp_replace(regexp_extract(lower(url), '^[a-z]+://([^/?#:]+)', 1), '^www\\.', '') as host from pages) select page_id, host, host <> '' and not (host = 'casino-win.example.com' or ends_with(host, '.casino-win.example.com')) and starts_with(lower(url), 'https://') and (host in ('example.com', 'example.org') or ends_with(host, '.example.com') or ends_with(host, '.example.org')) as allowed from h",
     "chat_window_8": "select conv_id, turn, role from conversations qualify row_number() over (partition by conv_id order by turn desc) <= 8",
-    "memory_keywords": r"with l as (select conv_id, turn, unnest(regexp_split_to_array(text, '[.?!]')) as line, generate_subscripts(regexp_split_to_array(text, '[.?!]'), 1) - 1 as pos from conversations), t as (select conv_id, turn, pos::int as pos, trim(line) as line from l) select conv_id, turn, pos, md5(line) as line_hash from t where regexp_matches(lower(line), '\b(the|de|que)\b') qualify row_number() over (partition by conv_id order by turn desc, pos) <= 5",
+    "memory_keywords": r"with l as (select conv_id, turn, unnest(regexp_split_to_array(text, '[.?!]')) as line, generate_subscripts(regexp_split_to_array(text, '[.?!]'), 1) - 1 as pos from conversations), t as (select conv_id, turn, pos::int as pos, trim(line) as line from l) select conv_id, turn, pos, md5(line) as line_hash from t where regexp_matches(lower(line), '(^|[^a-z])(the|de|que)([^a-z]|$)') qualify row_number() over (partition by conv_id order by turn desc, pos) <= 5",
     "doc_memory_score": "with l as (select doc_id, max(quality) as quality from labels group by 1), s as (select doc_id, round(0.7 * quality + 0.3 * exp(-(doc_id % 90) / 30.0::double), 6) as score from documents join l using (doc_id)) select doc_id, score from s order by score desc, doc_id limit 50",
     "token_budget": "with t as (select conv_id, turn, greatest(1, length(text) // 4) as tokens from conversations) select conv_id, turn, (sum(tokens) over w)::bigint as used, sum(tokens) over w <= 500 as within from t window w as (partition by conv_id order by turn rows unbounded preceding)",
     "audit_verify": "with o as (select row_number() over (order by o_orderkey) - 1 as seq from orders limit 200) select seq, seq <> 7 as sound, seq <> 101 as linked from o where seq < 200 and seq <> 100",

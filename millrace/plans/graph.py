@@ -150,6 +150,6 @@ ORACLES = {
     + """, m as (select entity, metric_key, bool_or(target is not null) as t, bool_or(period is not null) as p, bool_or(body not like '%where possible%') as s from c where metric_key is not null and confidence >= 0.5 group by all),
 w as (select *, case metric_key when 'metric:ghg scope 1' then 0.35 * t::int + 0.30 * p::int + 0.15 + 0.10 * s::int + 0.10 else 0.30 * t::int + 0.25 * p::int + 0.20 + 0.15 * s::int + 0.10 end as score from m),
 e as (select distinct entity from c),
-k as (select e.entity, coalesce(sum(0.5 * score) filter (metric_key = 'metric:revenue'), 0) as financial, coalesce(sum(case metric_key when 'metric:ghg scope 1' then 0.3 else 0.25 end * score) filter (metric_key <> 'metric:revenue'), 0) as natural, count(metric_key) as n from e left join w using (entity) group by 1)
-select entity, round(financial::double, 6) as financial, 0.0::double as manufactured, 0.0::double as intellectual, 0.0::double as human, 0.0::double as social_relationship, round(natural::double, 6) as natural, round((0.15 * financial + 0.4 * natural)::double, 6) as overall, round(n / 12.0::double, 6) as coverage from k""",
+k as (select e.entity, coalesce(sum(0.5 * score) filter (metric_key = 'metric:revenue'), 0) as financial, coalesce(sum(case metric_key when 'metric:ghg scope 1' then 0.3 else 0.25 end * score) filter (metric_key <> 'metric:revenue'), 0) as nat, count(metric_key) as n from e left join w using (entity) group by 1)
+select entity, round(financial::double, 6) as financial, 0.0::double as manufactured, 0.0::double as intellectual, 0.0::double as human, 0.0::double as social_relationship, round(nat::double, 6) as "natural", round((0.15 * financial + 0.4 * nat)::double, 6) as overall, round(n / 12.0::double, 6) as coverage from k""",
 }

@@ -196,7 +196,7 @@ def timeseries_ops(spark, d):
 
 def _align_sql(how: str) -> str:
     return f"""
-with a as (select day(o_orderdate)::int as ts, count(*) as "left" from orders group by 1), b as (select day(ts)::int as ts, count(*) as "right" from events group by 1 having day(ts) % 2 = 0)
+with a as (select day(o_orderdate)::int as ts, count(*) as "left" from orders group by 1), b as (select day(e.ts)::int as ts, count(*) as "right" from events e where day(e.ts) % 2 = 0 group by day(e.ts))
 select ts, "left", "right" from a {how} join b using (ts)"""
 
 

@@ -62,7 +62,7 @@ def token_bucket(events: DataFrame, key: str = "user_id", ts: str = "ts", rate:
         allowed, _, _ = bucket_fold(frame["t"].tolist(), rate, burst, burst, None)
         return pd.DataFrame({key: frame[key], order: frame[order], "allowed": allowed})
 
-    return events.select(key, order, F.col(ts).cast("double").alias("t")).groupBy(key).applyInPandas(run, schema)
+    return events.select(key, order, (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("t")).groupBy(key).applyInPandas(run, schema)
 
 
 def token_bucket_stream(events: DataFrame, key: str = "user_id", ts: str = "ts", rate: float = 5.0, burst: float = 10.0, order: str = "event_id", idle: int = 3_600_000) -> DataFrame:
@@ -82,7 +82,7 @@ def token_bucket_stream(events: DataFrame, key: str = "user_id", ts: str = "ts",
         state.setTimeoutDuration(idle)
         yield pd.DataFrame({key: keys[0], order: rows[order], "allowed": allowed})
 
-    rows = events.select(key, order, F.col(ts).cast("double").alias("t"))
+    rows = events.select(key, order, (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("t"))
     return rows.groupBy(key).applyInPandasWithState(run, f"{key} {ktype}, {order} {otype}, allowed boolean", "tokens double, last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
