@@ -96,9 +96,13 @@ def first_answers(docs: DataFrame, key: str = "doc_id", text: str = "text", most
         ("emissions", r"(\d[\d,]*(?:\.\d+)?\s?(?:k?t)?CO2e)", "What emissions are stated?"),
         ("number", r"\b(\d[\d,]*(?:\.\d+)?)\b", "What figure is stated?"),
     ]
+
+    def holds(pattern: str):
+        return lambda s: s.rlike(pattern)
+
     parts = F.split(F.col(text), r"\. ")
     made = []
     for kind, pattern, question in kinds:
-        line = F.get(F.filter(parts, lambda s, p=pattern: s.rlike(p)), F.lit(0))
+        line = F.get(F.filter(parts, holds(pattern)), F.lit(0))
         made.append(F.when(line.isNotNull(), F.struct(F.lit(kind).alias("kind"), F.lit(question).alias("question"), F.regexp_extract(line, pattern, 1).alias("answer"))))
     return docs.select(key, F.explode(F.slice(F.array_compact(F.array(*made)), 1, most)).alias("qa")).select(key, "qa.*")

@@ -53,6 +53,7 @@ def parse_tables(html: str | None) -> list[list[list[str]]]:
         parser.close()
     except Exception:  # noqa: BLE001 - a page is never worth a failed job
         pass
+    parser._end_cell()
     while parser.open:
         parser.tables.append(parser.open.pop())
     return [t for t in parser.tables if any(t)]
