@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SOFT_HYPHEN, NBSP = "­", " "
+SOFT_HYPHEN, NBSP = chr(0xAD), chr(0xA0)
 _SECTION = re.compile(r"(?:[A-Z][A-Z0-9 &/\-]{2,}|(?:\d{1,2}\.){1,4}\s+.*|[A-Z]\.\s+.*|Appendix\s+[A-Z0-9]+.*)")
 _BULLET = re.compile(r"\s*[-*•‣–]\s+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[A-Z0-9])")

@@ -35,7 +35,7 @@ def sniff(spark: SparkSession, path: str, lines: int = 200) -> tuple[str, str]:
 
 
 def clean_header(name: str) -> str:
-    return name.replace("﻿", "").replace(" ", " ").strip()
+    return name.replace(chr(0xFEFF), "").replace(chr(0xA0), " ").strip()
 
 
 def snake(name: str) -> str:

@@ -65,25 +65,21 @@ def token_bucket(events: DataFrame, key: str = "user_id", ts: str = "ts", rate:
     return events.select(key, order, (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("t")).groupBy(key).applyInPandas(run, schema)
 
 
-def token_bucket_stream(events: DataFrame, key: str = "user_id", ts: str = "ts", rate: float = 5.0, burst: float = 10.0, order: str = "event_id", idle: int = 3_600_000) -> DataFrame:
-    """The same of a stream: tokens and the last time are the state of a key, dropped after ``idle`` milliseconds."""
+def token_bucket_stream(events: DataFrame, key: str = "user_id", ts: str = "ts", rate: float = 5.0, burst: float = 10.0, order: str = "event_id") -> DataFrame:
+    """The same of a stream: the state of a key is two numbers, its tokens and its last time, kept as long as the query."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     ktype, otype = (events.schema[c].dataType.simpleString() for c in (key, order))
 
     def run(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         tokens, last = state.get if state.exists else (burst, None)
         rows = pd.concat(list(frames)).sort_values(["t", order])
         allowed, tokens, last = bucket_fold(rows["t"].tolist(), rate, burst, tokens, last)
-        state.update((tokens, last))
-        state.setTimeoutDuration(idle)
+        state.update((float(tokens), float(last)))
         yield pd.DataFrame({key: keys[0], order: rows[order], "allowed": allowed})
 
     rows = events.select(key, order, (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("t"))
-    return rows.groupBy(key).applyInPandasWithState(run, f"{key} {ktype}, {order} {otype}, allowed boolean", "tokens double, last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy(key).applyInPandasWithState(run, f"{key} {ktype}, {order} {otype}, allowed boolean", "tokens double, last double", "append", GroupStateTimeout.NoTimeout)
 
 
 def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
