@@ -62,8 +62,8 @@ def truncate(c: Column, most: int = 96) -> Column:
 
 def stable_hash(*parts: Column) -> Column:
     """Forty hex digits of the joined parts, without accents, in lower case."""
-    joined = F.concat_ws("|", *(F.lower(F.trim(F.regexp_replace(strip_accents(F.coalesce(p.cast("string"), F.lit(""))), r"\s+", " "))) for p in parts))
-    return F.substring(F.sha2(joined, 256), 1, 40)
+    joined = F.concat_ws("|", *(F.lower(F.trim(F.regexp_replace(F.coalesce(p.cast("string"), F.lit("")), r"\s+", " "))) for p in parts))
+    return F.substring(F.sha2(strip_accents(joined), 256), 1, 40)
 
 
 def metric_key(c: Column, patterns: Sequence[tuple[str, str]] = METRIC_PATTERNS) -> Column:

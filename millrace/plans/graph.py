@@ -30,7 +30,13 @@ def _chunks(spark, d):
 
 
 def _graph(spark, d):
-    return K.build(K.claims(_chunks(spark, d)))
+    """Nodes and edges; a query reads them several times, so they are kept as a stored graph would be."""
+    nodes, edges = K.build(K.claims(_chunks(spark, d)))
+    return nodes.persist(), edges.persist()
+
+
+def _claims(spark, d):
+    return P.claim_table(*_graph(spark, d)).persist()
 
 
 def kg_claims(spark, d):
@@ -84,16 +90,16 @@ def kg_graphml(spark, d):
 
 
 def detectors(spark, d):
-    return P.detect(P.claim_table(*_graph(spark, d))).groupBy("code", "severity").agg(F.count("*").alias("n"))
+    return P.detect(_claims(spark, d)).groupBy("code", "severity").agg(F.count("*").alias("n"))
 
 
 def scorecard(spark, d):
-    cards = P.scorecard(P.metric_scores(P.claim_table(*_graph(spark, d)), P.rules(spark)))
+    cards = P.scorecard(P.metric_scores(_claims(spark, d), P.rules(spark)))
     return cards.select("entity", *(F.round(c, 6).alias(c) for c in (*P.CAPITALS, "overall", "coverage")))
 
 
 def benchmark(spark, d):
-    cards = P.benchmark(P.scorecard(P.metric_scores(P.claim_table(*_graph(spark, d)), P.rules(spark))))
+    cards = P.benchmark(P.scorecard(P.metric_scores(_claims(spark, d), P.rules(spark))))
     return cards.select("entity", F.round("overall", 6).alias("overall"), "rank", "rank_natural", "rank_financial")
 
 
