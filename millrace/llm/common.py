@@ -38,11 +38,14 @@ def settle(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends in replicated files.
 
     Lost executors then cost a reread and not a recomputation, and later
-    plans read only the columns they need.
+    plans read only the columns they need. Exchanges of the finished job are
+    garbage then; the driver is told, so that their files go at once and not
+    when its heap happens to fill.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/millrace/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

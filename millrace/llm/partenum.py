@@ -8,6 +8,12 @@ of a first-level one is a signature: with k1 * (k2 + 1) > k differences some
 first-level partition holds at most k2 of them, so the sets agree on a subset.
 Sets that share no signature cannot be linked, so no link is lost.
 
+Large sets have ``SPARE`` partitions more than that, and each set leaves out
+its emptiest ones, as many as are spare: no more of a size than all of it. Of
+two similar sets, let t be the larger of the sizes up to which they leave out;
+more partitions agree than one of them has of size t or less, so one that both
+sign agrees. Partitions with few elements, which many documents share, go.
+
 Shared signatures give candidates; the parity of each set in 512 hash cells
 gives a lower bound of the symmetric difference that removes most of them
 without reading texts; the others are verified on whole texts. Candidates are
@@ -33,6 +39,7 @@ from pyspark.sql import functions as F
 from .common import U64, components, mix64, settle, shingle_sets, slices, utf8
 
 CELLS = 8
+SPARE = 0.3
 SEEN = 200_000
 ORDERS = 8
 
@@ -64,8 +71,8 @@ class Bands:
         return list(range(self.band(max(1, least)), self.band(size) + 1))
 
     @lru_cache(maxsize=None)  # noqa: B019
-    def shape(self, band: int) -> tuple[int, int, int]:
-        """(first-level partitions, second-level partitions of each, differences allowed in one)."""
+    def shape(self, band: int) -> tuple[int, int, int, int]:
+        """(first-level partitions, second-level partitions of each, differences allowed in one, partitions to spare)."""
         edges = self.edges(1 << 10)
         while len(edges) < band + 2:
             edges = self.edges(2 * int(edges[-1]))
@@ -78,7 +85,9 @@ class Bands:
         limit, k2, n2 = self.small
         if not 0 < most <= limit:
             k2, n2 = self.k2, self.n2
-        return -(-(most + 1) // (k2 + 1)), max(n2, k2 + 1), k2
+        least = -(-(most + 1) // (k2 + 1))
+        spare = int(SPARE * least) if most and not k2 else 0
+        return least + spare, max(n2, k2 + 1), k2, spare
 
     def differ(self, a: int, b: int) -> int:
         """The most elements in which similar sets of a and b elements can differ: x + y - 2 * ceil(r (x + y) / (1 + r))."""
@@ -91,7 +100,7 @@ class Bands:
         mixed = np.zeros(len(items) + 1, U64)
         np.cumsum(mix64(items ^ U64(0xA5A5A5A5A5A5A5A5)), out=mixed[1:])
         for band in self.of(len(items)):
-            n1, n2, k2 = self.shape(band)
+            n1, n2, k2, spare = self.shape(band)
             cells = n1 * n2
             cuts = (np.arange(cells + 1, dtype=np.float64) * (2.0**64 / cells)).clip(max=2.0**64 - 2048).astype(U64)
             at = np.searchsorted(items, cuts)
@@ -102,6 +111,9 @@ class Bands:
                 value = where + U64(s)
                 for j in subset:
                     value = mix64(value ^ (part[:, j] + U64(j + 1)))
+                if spare:
+                    size = at[1:] - at[:-1]
+                    value = value[size > np.searchsorted(np.cumsum(np.bincount(size)), spare, side="right") - 1]
                 out.append(value)
         return np.concatenate(out)
 
@@ -223,21 +235,34 @@ def jaccard_components(docs: DataFrame, num: int = 9, den: int = 10, width: int
         both = with_a.join(texts, "doc_id").select("a", F.col("doc_id").alias("b"), "ta", F.col("text").alias("tb"))
         return both.mapInArrow(_verify(num, den, width), "a long, b long").distinct()
 
+    def crossing(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+        """The pairs whose ends ``comp`` has apart."""
+        out = pairs
+        for side in "ab":
+            out = out.join(comp.select(F.col("id").alias(side), F.col("component").alias(f"c{side}")), side, "left")
+        return out.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
     ends = F.array(F.struct(F.least("hub", "node").alias("x_id"), F.greatest("hub", "node").alias("y_id")), F.struct(F.least("other", "node").alias("x_id"), F.greatest("other", "node").alias("y_id")))
     stars = bucket.select(F.explode(ends).alias("e")).select("e.*").where("x_id < y_id").distinct()
     found = stars.join(facts_of("x"), "x_id").join(facts_of("y"), "y_id").where(_close(num, den)).select(F.col("x_id").alias("a"), F.col("y_id").alias("b"))
     found = settle(found, "pairs")
     comp = settle(components(found), "groups")
-    more = settle(apart(comp), "pairs")
-    links = settle(verified(found.unionByName(more)), "links")
-    if links.count() < found.count() + more.count():  # a bound let a pair through: look again between the components that remain
-        tried = found.unionByName(more)
-        more = apart(settle(components(links), "groups")).join(tried, ["a", "b"], "left_anti")
-        links = links.unionByName(settle(verified(more), "links"))
-        groups = components(links)
-    elif more.isEmpty():
-        groups = comp
-    else:
-        groups = components(links)
+    pairs = settle(found.unionByName(apart(comp)), "pairs")
+
+    # Texts are read for one pair of each document first; of the other pairs, only those count that these links leave apart.
+    tree = settle(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "tree")
+    links = settle(verified(tree), "links")
+    groups = settle(components(links), "groups")
+    rest = settle(crossing(pairs.join(tree, ["a", "b"], "left_anti"), groups), "pairs")
+    failed = links.count() < tree.count()
+    if not rest.isEmpty():
+        more = settle(verified(rest), "links")
+        failed |= more.count() < rest.count()
+        links = links.unionByName(more)
+        groups = settle(components(links), "groups")
+    if failed:  # a bound let a pair through: look again between the components that remain
+        rest = settle(apart(groups).join(pairs, ["a", "b"], "left_anti"), "pairs")
+        if not rest.isEmpty():
+            groups = settle(components(links.unionByName(settle(verified(rest), "links"))), "groups")
     groups = groups.withColumnRenamed("id", "node")
     return full.join(groups, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node", "doc_id").alias("component_id"))
