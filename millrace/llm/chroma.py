@@ -23,6 +23,7 @@ from .common import settle
 RATE, FRAME, HOP = 5512, 1024, 256
 LOW, HIGH = 55.0, 2200.0
 SPAN = 12
+PART = 64
 #: Filters as (kind, first class, classes, frames): 0 whole against nothing in log, 1 halves by class, 2 halves by time, 3 quarters, 4 and 5 thirds.
 FILTERS = [(k, c, h, w) for k, c, h, w in zip((1, 2, 3, 1, 2, 3, 4, 5, 1, 2, 3, 4, 5, 1, 2, 3), (0, 4, 2, 6, 8, 0, 3, 0, 2, 0, 6, 0, 6, 4, 1, 4), (6, 4, 6, 4, 3, 12, 9, 12, 8, 12, 4, 6, 6, 8, 6, 8), (3, 8, 10, 12, 12, 6, 4, 9, 6, 4, 8, 10, 12, 10, 12, 4), strict=True)]
 CUTS = (-0.12, 0.0, 0.12)
@@ -147,7 +148,24 @@ def render_embeddings(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(run, "id long, prints array<long>")
 
 
-def align(prints: DataFrame, every: int = 20, agree: int = 1, most_errors: float = 0.12, least_overlap: int = 20, salts: int = 8) -> DataFrame:
+def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Votes for each query, recording and offset of every batch; rows of one query come together."""
+    for batch in batches:
+        members = batch.column("members")
+        size = np.asarray(members.value_lengths())
+        flat = members.flatten()
+        q = np.repeat(np.asarray(batch.column("q")), size)
+        other = np.asarray(flat.field("class_id"))
+        offset = np.repeat(np.asarray(batch.column("q_at")), size) - np.asarray(flat.field("at"))
+        keep = q != other
+        order = np.lexsort((offset[keep], other[keep], q[keep]))
+        rows = np.stack([x[keep][order] for x in (q, other, offset)])
+        first = np.flatnonzero(np.concatenate(([True], (rows[:, 1:] != rows[:, :-1]).any(axis=0)))) if rows.shape[1] else np.empty(0, int)
+        votes = np.diff(np.append(first, rows.shape[1]))
+        yield pa.RecordBatch.from_arrays([pa.array(rows[0][first]), pa.array(rows[1][first]), pa.array(rows[2][first].astype(np.int32)), pa.array(votes.astype(np.int64))], names=["q", "class_id", "offset", "votes"])
+
+
+def align(prints: DataFrame, every: int = 20, agree: int = 1, most_errors: float = 0.12, least_overlap: int = 20) -> DataFrame:
     """Recordings aligned with the query recordings, of ``prints(id, prints)``; queries are the ids divisible by ``every``.
 
     Rows (id, class_id, match_id, offset, overlap, error): every recording has
@@ -159,8 +177,9 @@ def align(prints: DataFrame, every: int = 20, agree: int = 1, most_errors: float
     ``most_errors``. Copies are thus told by their classes and not as pairs.
 
     The index holds every integer; a candidate shares at least ``agree`` of them
-    at its best offset (the tests measure the recall). Lists are salted in
-    ``salts`` parts, so a common integer is no hot key, and none is dropped. Recordings without
+    at its best offset (the tests measure the recall). Lists are cut in parts of
+    bounded length, so a common integer is no hot key, and none is dropped;
+    each query's histogram of offsets is counted where its lists meet. Recordings without
     prints are their own class and match nothing, a null id has a null class,
     repeated rows are copies, other columns are ignored, an empty table gives an
     empty result.
@@ -175,10 +194,15 @@ def align(prints: DataFrame, every: int = 20, agree: int = 1, most_errors: float
     # A held note repeats its integer: only the first of a run is indexed, on both sides alike.
     first = Window.partitionBy("class_id").orderBy("at")
     runs = runs.withColumn("before", F.lag("print").over(first)).where("before is null or before <> print").drop("before")
-    index = settle(runs.withColumn("salt", F.pmod(F.xxhash64("class_id"), F.lit(salts).cast("long"))), "index")
-    asked = index.where("asked = 1").select(F.col("class_id").alias("q"), F.col("at").alias("q_at"), "print", F.explode(F.expr(f"sequence(0L, {salts - 1}L)")).alias("salt"))
-    votes = asked.join(index.select("class_id", "at", "print", "salt"), ["print", "salt"]).where("q <> class_id")
-    votes = votes.groupBy("q", "class_id", (F.col("q_at") - F.col("at")).alias("offset")).agg(F.count("*").alias("votes")).where(f"votes >= {agree}")
+    index = settle(runs, "index")
+    # Integers of one recording alone, or that no query has, meet nothing. Long lists are cut in parts of about ``PART``.
+    shared = index.groupBy("print").agg(F.count("*").alias("n"), F.max("asked").alias("wanted")).where("n > 1 and wanted = 1").select("print", F.expr(f"cast(ceil(n / {PART}D) as bigint)").alias("parts"))
+    held = index.join(shared, "print")
+    lists = held.withColumn("part", F.expr("pmod(xxhash64(class_id, at), parts)")).groupBy("print", "part").agg(F.collect_list(F.struct("class_id", "at")).alias("members"))
+    asked = held.where("asked = 1").select(F.col("class_id").alias("q"), F.col("at").alias("q_at"), "print", F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"))
+    met = asked.join(lists, ["print", "part"]).select("q", F.col("q_at").cast("long").alias("q_at"), "members")
+    counted = met.repartition("q").sortWithinPartitions("q").mapInArrow(_histogram, "q long, class_id long, offset int, votes long")
+    votes = counted.groupBy("q", "class_id", "offset").agg(F.sum("votes").alias("votes")).where(f"votes >= {agree}")
     best = votes.groupBy("q", "class_id").agg(F.max_by("offset", F.struct("votes", -F.abs("offset"), "offset")).alias("offset"))
     pairs = best.join(one.select(F.col("class_id").alias("q"), F.col("prints").alias("mine")), "q").join(one.select("class_id", F.col("prints").alias("theirs")), "class_id")
     start, length = F.greatest(F.lit(0), F.col("offset")), F.least(F.size("mine"), F.size("theirs") + F.col("offset")) - F.greatest(F.lit(0), F.col("offset"))
