@@ -134,13 +134,15 @@ def _describe(bands: Bands, width: int):
         for whole in batches:
             for batch in slices(whole, "text"):
                 sets = shingle_sets(*utf8(batch.column("text")), width)
+                named = batch.column("doc_id").is_valid().to_pylist()
                 size = np.array([len(x) for x in sets], np.int64)
                 h1 = np.array([mix64(x).sum(dtype=U64) for x in sets], U64).view(np.int64)
                 h2 = np.array([mix64(x ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64) for x in sets], U64).view(np.int64)
                 odd = np.zeros((len(sets), CELLS), np.int64)
                 sigs, ends = [], [0]
                 for i, items in enumerate(sets):
-                    if len(items) and (key := (int(h1[i]), int(h2[i]))) not in seen:  # a task signs a repeated set once; h1 and h2 link the others
+                    # a task signs a repeated set once, for a row that can link; h1 and h2 link the others
+                    if len(items) and named[i] and (key := (int(h1[i]), int(h2[i]))) not in seen:
                         if len(seen) >= SEEN:
                             seen.clear()
                         seen.add(key)

@@ -62,6 +62,13 @@ def test_empty_table_null_ids_and_repeats(spark):
     assert got == sorted([(3, 2, 1), (3, 2, 1), (1, 2, 1), (None, 2, None), (9, 0, 9)], key=str)
 
 
+def test_a_null_id_before_its_twin_takes_no_links(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, text), (7, text), (4, text + " tail"), (None, text + " tail")]
+    got = sorted(((r.doc_id, r.component_id) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()), key=str)
+    assert got == sorted([(None, None), (7, 4), (4, 4), (None, None)], key=str)
+
+
 def test_signatures_cover_every_similar_pair():
     rng = np.random.default_rng(2)
     bands = Bands(9, 10)
