@@ -2,10 +2,10 @@
 
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir)
 and returns the next one's ``docs``, which ``run`` writes and reads back. All
-but the last return the columns of ``documents``. Ids that a stage drops are
-written first: Spark then knows the size of that table and broadcasts it only
+but the last return the columns of ``documents``. A stage that picks documents
+writes them with a key of each row, as ids can be null or repeated and rows are
+what is judged. Keys that a stage drops are written first: Spark then knows the size of that table and broadcasts it only
 below ``spark.sql.autoBroadcastJoinThreshold``; above it both sides shuffle.
-Rows without a doc_id can't be dropped by it and stay until the mixture.
 """
 
 from __future__ import annotations
@@ -17,16 +17,26 @@ from millrace.llm import langid, mixing, partenum, pii, spiece
 from millrace.llm.common import settle, table
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key of each row in ``_row``; written, so that every reader sees the same keys."""
+    return settle(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; the evidence is the text, the recorded language and the source."""
-    rejected = langid.identify_documents(docs).where("not accepted").select("doc_id")
-    return docs.join(settle(rejected, "rejected"), "doc_id", "left_anti").select(docs.columns)
+    rows = _rows(docs)
+    rejected = langid.identify_documents(rows, key="_row").where("not accepted").select(F.col("doc_id").alias("_row"))
+    return rows.join(settle(rejected, "rejected"), "_row", "left_anti").select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that five-word shingles link at a similarity of at least 0.8, the one with the smallest id."""
-    found = partenum.jaccard_components(docs, num=8, den=10, width=5)
-    return docs.join(settle(found.where("doc_id <> component_id").select("doc_id"), "copies"), "doc_id", "left_anti").select(docs.columns)
+    """Of each group of documents that five-word shingles link at a similarity of at least 0.8, the one with the smallest id; a null id comes last."""
+    rows = _rows(docs)
+    found = partenum.jaccard_components(rows.select(F.col("_row").alias("doc_id"), "text"), num=8, den=10, width=5)
+    found = settle(found.where("n_shingles > 0").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("group")), "found")
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "_row")
+    kept = found.join(rows.select("_row", "doc_id"), "_row").groupBy("group").agg(F.min(order).alias("first")).select("first._row")
+    return rows.join(settle(found.select("_row").join(kept, "_row", "left_anti"), "copies"), "_row", "left_anti").select(docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,10 +45,10 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture takes them: their taken words over their size, rounded to whole copies."""
-    mixed = mixing.mix(docs).groupBy("doc_id").agg(F.max("taken").alias("taken"), F.max("size").alias("size"))
-    copies = mixed.select("doc_id", F.expr("cast(floor(taken / cast(size as double) + 0.5D) as int)").alias("copies")).where("copies > 0")
-    return docs.join(copies, "doc_id").select(*docs.columns, F.explode(F.sequence(F.lit(1), "copies")).alias("_copy")).drop("_copy")
+    """Documents as often as the mixture takes them: their taken words over their size, rounded to whole copies; a text without words gives the mixture none."""
+    rows = _rows(docs)
+    copies = mixing.mix(rows, key="_row").select("_row", F.expr("cast(floor(try_divide(taken, cast(size as double)) + 0.5D) as int)").alias("copies")).where("copies > 0")
+    return rows.join(copies, "_row").select(*docs.columns, F.explode(F.sequence(F.lit(1), "copies")).alias("_copy")).drop("_copy")
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -162,9 +162,9 @@ def identify(docs: DataFrame, languages: Sequence[str], table: np.ndarray, least
     )
 
 
-def of_documents(docs: DataFrame) -> DataFrame:
+def of_documents(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Documents as evidence: the recorded language is what was declared, the source is the host; there is no address."""
-    return docs.select("doc_id", "text", F.col("lang").alias("declared"), F.lit(None).cast("string").alias("suffix"), F.col("source").alias("host"))
+    return docs.select(F.col(key).alias("doc_id"), "text", F.col("lang").alias("declared"), F.lit(None).cast("string").alias("suffix"), F.col("source").alias("host"))
 
 
 def of_pages(pages: DataFrame) -> DataFrame:
@@ -178,13 +178,13 @@ def of_pages(pages: DataFrame) -> DataFrame:
     )
 
 
-def identify_documents(docs: DataFrame, **options) -> DataFrame:
-    """``identify`` over ``docs(doc_id, text, lang, source)``, with texts fitted on a sample of the rows that have a language."""
+def identify_documents(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
+    """``identify`` over ``docs(doc_id, text, lang, source)``, with texts fitted on a sample of the rows that have a language; doc_id is ``key``."""
     texts, labels = sample(docs)
     names, table = fit(texts, [x.lower() for x in labels]) if labels else ([], np.zeros((CELLS, 0)))
     if not names:
-        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.lit(None).cast(t).alias(c) for c, t in (("language", "string"), ("confidence", "double"), ("text_language", "string"), ("declared", "string"))), F.lit(False).alias("accepted"))
-    return identify(of_documents(docs), names, table, **options)
+        return docs.select(F.col(key).cast("long").alias("doc_id"), *(F.lit(None).cast(t).alias(c) for c, t in (("language", "string"), ("confidence", "double"), ("text_language", "string"), ("declared", "string"))), F.lit(False).alias("accepted"))
+    return identify(of_documents(docs, key), names, table, **options)
 
 
 def identify_pages(pages: DataFrame, docs: DataFrame, **options) -> DataFrame:

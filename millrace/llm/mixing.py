@@ -94,7 +94,7 @@ def highest_quotients(votes: DataFrame, group: list[str], key: str, vote: str, s
     return joined.select(*(F.col(f"b.{c}") for c in votes.columns), (F.col("b._base") + F.coalesce(F.col("m._moved"), F.lit(0))).alias(out))
 
 
-def mix(docs: DataFrame, weights: DataFrame | None = None, share: float = 1.5, most: int = 2, block: int = 16, shard_rows: int = 128, most_shards: int = 4096, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, weights: DataFrame | None = None, share: float = 1.5, most: int = 2, block: int = 16, shard_rows: int = 128, most_shards: int = 4096, seed: int = 17, key: str | None = None) -> DataFrame:
     """(doc_id, source, shard, size, source_size, target, taken) for every row of ``docs(doc_id, text, source)``.
 
     ``weights(source, weight)`` holds a positive whole number for each source;
@@ -106,11 +106,13 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, share: float = 1.5, m
 
     A null source is a source of its own; null and blank texts have size 0 and
     give nothing; a null doc_id is placed as a key of its own. Repeated rows
-    are documents of their own that share a place in the order. Other columns
-    are ignored. An empty table gives an empty result.
+    are documents of their own that share a place in the order, unless ``key``
+    names a column that tells rows apart: it orders them and is returned too.
+    Other columns are ignored. An empty table gives an empty result.
     """
     # Texts are read once; all that follows works on three narrow columns.
-    sized = settle(docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), words().alias("size")), "sizes")
+    keys = [key] if key else []
+    sized = settle(docs.select(*keys, F.col("doc_id"), F.col("source").cast("string").alias("source"), words().alias("size")), "sizes")
     source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows"))
     if weights is None:
         nth = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
@@ -124,7 +126,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, share: float = 1.5, m
     code = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     narrow = sized.withColumn("_code", code).alias("d").join(source.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
     narrow = narrow.select(
-        "d.doc_id", "d.source", "d.size", "d._code", "s.source_size", "s.target", F.expr("cast(conv(substring(d._code, 1, 8), 16, 10) as bigint) % s._shards").alias("shard")
+        *(f"d.{k}" for k in keys), "d.doc_id", "d.source", "d.size", "d._code", "s.source_size", "s.target", F.expr("cast(conv(substring(d._code, 1, 8), 16, 10) as bigint) % s._shards").alias("shard")
     )
     shards = narrow.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
     shards = shards.withColumn("blocks", F.expr(f"cast(ceil(shard_size / {float(block)}D) as bigint)"))
@@ -142,7 +144,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, share: float = 1.5, m
     start = F.conv(F.substring(first, 1, 8), 16, 10).cast("long") % F.col("blocks")
     shards = shards.withColumn("first_block", F.when(F.col("blocks") > 0, start).otherwise(F.lit(0).cast("long")))
 
-    placed = Window.partitionBy("source", "shard").orderBy("_code", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = Window.partitionBy("source", "shard").orderBy("_code", "doc_id", "size", *keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     laid = narrow.withColumn("_end", F.sum("size").over(placed)).withColumn("_start", F.col("_end") - F.col("size"))
     laid = laid.alias("d").join(
         shards.select("source", "shard", "blocks", "quota", "first_block", "shard_size").alias("h"), F.col("d.source").eqNullSafe(F.col("h.source")) & (F.col("d.shard") == F.col("h.shard"))
@@ -151,4 +153,4 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, share: float = 1.5, m
     laid = laid.withColumn("_left", F.expr("if(blocks > 0, quota % blocks, 0)")).withColumn("_turns", F.expr("if(blocks > 0, quota div blocks, 0)"))
     laid = laid.withColumn("_from", F.expr(f"first_block * {block}")).withColumn("_to", F.expr(f"(first_block + _left) * {block}")).withColumn("_over", F.expr(f"greatest(0, first_block + _left - blocks) * {block}"))
     taken = "size * _turns + greatest(0, least(_end, _to, shard_size) - greatest(_start, _from)) + greatest(0, least(_end, _over) - _start)"
-    return laid.select("doc_id", "source", "shard", "size", "source_size", "target", F.expr(taken).cast("long").alias("taken"))
+    return laid.select(*keys, "doc_id", "source", "shard", "size", "source_size", "target", F.expr(taken).cast("long").alias("taken"))

@@ -46,6 +46,27 @@ def test_stages(spark, docs):
     assert sorted((r.doc_id, list(r.ids), r.n_pieces) for r in coded) == sorted((i, ids := model.encode(texts[i].text), len(ids)) for i, n in copies.items() for _ in range(n))
 
 
+def test_rows_with_null_repeated_and_blank_keys(spark):
+    word = lambda k, n=60: " ".join(f"w{k}x{i}" for i in range(n))
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(k, "the motion of and with " + word(k), "en", "a", 0) for k in range(30)] + [
+        (40, "12 34", None, "a", 0), (40, "the nation " + word(40), "en", "a", 0),  # one id, one row rejected
+        (None, "12 34", None, "a", 0), (None, "the nation " + word(41), "en", "a", 0),
+        (42, "", "en", "a", 0), (43, None, "en", "a", 0),
+    ]
+    kept = pipeline.language_id(spark, spark.createDataFrame(rows, schema), "").collect()
+    assert sorted(map(str, kept)) == sorted(map(str, (r for r in spark.createDataFrame(rows, schema).collect() if r.text != "12 34")))
+
+    near = [(None, word(1), "en", "a", 0), (5, word(1), "en", "a", 1), (5, word(1), "en", "a", 2), (3, word(1) + " tail", "en", "a", 3), (5, word(2), "en", "a", 4), (None, word(3), "en", "a", 5), (None, word(3), "en", "a", 5), (6, "", "en", "a", 6), (6, "", "en", "a", 7)]
+    left = pipeline.near_duplicates(spark, spark.createDataFrame(near, schema), "").collect()
+    assert sorted(r.n_chars for r in left) == [3, 4, 5, 6, 7]
+
+    mixed = [(None, word(k), "en", "a", k) for k in range(4)] + [(9, word(4), "en", "a", 4), (9, word(5), "en", "a", 5), (7, "", "en", "a", 6), (8, None, "en", "a", 7)]
+    got = pipeline.mixture(spark, spark.createDataFrame(mixed, schema), "").collect()
+    assert {r.n_chars for r in got} == {0, 1, 2, 3, 4, 5} and all(r.text == word(r.n_chars) for r in got)
+    assert 8 <= len(got) <= 10  # 1.5 times as many words
+
+
 def brute5(rows):
     sets = {}
     for i, text in rows:
