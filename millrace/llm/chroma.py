@@ -4,7 +4,7 @@ A recording is cut into overlapping frames; the spectrum of each is folded into
 twelve pitch classes and normalised. Sixteen filters, differences of rectangle
 sums over an integral image of the last frames, are quantised to two bits each
 and packed into one 32-bit integer for every frame. Recordings that share
-whole integers meet in an inverted index; the offset at which most of their
+whole integers, or nearly, meet in an inverted index; the offset at which most of their
 shared integers agree aligns them, and the share of differing bits over the
 whole overlap at that offset decides.
 """
@@ -165,19 +165,21 @@ def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(rows[0][first]), pa.array(rows[1][first]), pa.array(rows[2][first].astype(np.int32)), pa.array(votes.astype(np.int64))], names=["q", "class_id", "offset", "votes"])
 
 
-def align(prints: DataFrame, every: int = 20, agree: int = 1, most_errors: float = 0.12, least_overlap: int = 20) -> DataFrame:
+def align(prints: DataFrame, every: int = 20, agree: int = 1, most_errors: float = 0.15, least_overlap: int = 20) -> DataFrame:
     """Recordings aligned with the query recordings, of ``prints(id, prints)``; queries are the ids divisible by ``every``.
 
     Rows (id, class_id, match_id, offset, overlap, error): every recording has
     one row with its class, the smallest id of equal fingerprints, and null in
     the other columns; the class of a query has one more row for each other
     class that it matches: ``match_id``, the offset in frames (position here
-    minus position there) with the most agreeing integers, the integers that
+    minus position there) with the most agreeing integers (those that differ in
+    one bit at most), the integers that
     overlap there, and the share of their bits that differ, at most
     ``most_errors``. Copies are thus told by their classes and not as pairs.
 
-    The index holds every integer; a candidate shares at least ``agree`` of them
-    at its best offset (the tests measure the recall). Lists are cut in parts of
+    The index holds every integer, and a query asks for each of its own and for
+    the 32 that differ from it in one bit; a candidate has at least ``agree``
+    of them at its best offset (the tests measure the recall). Lists are cut in parts of
     bounded length, so a common integer is no hot key, and none is dropped;
     each query's histogram of offsets is counted where its lists meet. Recordings without
     prints are their own class and match nothing, a null id has a null class,
@@ -195,11 +197,14 @@ def align(prints: DataFrame, every: int = 20, agree: int = 1, most_errors: float
     first = Window.partitionBy("class_id").orderBy("at")
     runs = runs.withColumn("before", F.lag("print").over(first)).where("before is null or before <> print").drop("before")
     index = settle(runs, "index")
-    # Integers of one recording alone, or that no query has, meet nothing. Long lists are cut in parts of about ``PART``.
-    shared = index.groupBy("print").agg(F.count("*").alias("n"), F.max("asked").alias("wanted")).where("n > 1 and wanted = 1").select("print", F.expr(f"cast(ceil(n / {PART}D) as bigint)").alias("parts"))
+    flips = F.array(*(F.lit(b).cast("long") for b in (0, *(1 << k for k in range(32)))))
+    probes = index.where("asked = 1").select(F.col("class_id").alias("q"), F.col("at").alias("q_at"), F.explode(F.transform(flips, lambda b: F.col("print").bitwiseXOR(b))).alias("print"))
+    # Integers that no query asks for meet nothing. Long lists are cut in parts of about ``PART``.
+    counts = index.groupBy("print").agg(F.count("*").alias("n")).join(probes.select("print").distinct(), "print", "left_semi")
+    shared = counts.select("print", F.expr(f"cast(ceil(n / {PART}D) as bigint)").alias("parts"))
     held = index.join(shared, "print")
     lists = held.withColumn("part", F.expr("pmod(xxhash64(class_id, at), parts)")).groupBy("print", "part").agg(F.collect_list(F.struct("class_id", "at")).alias("members"))
-    asked = held.where("asked = 1").select(F.col("class_id").alias("q"), F.col("at").alias("q_at"), "print", F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"))
+    asked = probes.join(shared, "print").select("q", "q_at", "print", F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"))
     met = asked.join(lists, ["print", "part"]).select("q", F.col("q_at").cast("long").alias("q_at"), "members")
     counted = met.repartition("q").sortWithinPartitions("q").mapInArrow(_histogram, "q long, class_id long, offset int, votes long")
     votes = counted.groupBy("q", "class_id", "offset").agg(F.sum("votes").alias("votes")).where(f"votes >= {agree}")

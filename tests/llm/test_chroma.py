@@ -100,3 +100,27 @@ def test_recall_on_rendered_vectors():
     a, b = ([fingerprint(chroma(p)) for p in render(v)] for v in (x, y))
     near = [(p, q) for p, q in zip(a, b) if errors(p, q) <= 0.12]
     assert len(near) > 50 and np.mean([bool(set(p.tolist()) & set(q.tolist())) for p, q in near]) >= 0.9
+
+
+def test_alignment_against_all_pairs_and_offsets(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(40, 64))
+    vectors = np.concatenate([x, x + rng.normal(size=x.shape) * 0.2])
+    prints = [fingerprint(chroma(p)) for p in render(vectors)]
+    base = rng.integers(0, 2**32, 60, np.uint32)
+    prints += [base, base ^ np.uint32(1 << 5)]  # no integer in common, one bit in each
+
+    def best(p, q, least=20):
+        out = 1.0
+        for o in range(least - len(q), len(p) - least + 1):
+            n = min(len(p), len(q) + o) - max(0, o)
+            out = min(out, np.bitwise_count(p[max(0, o) :][:n] ^ q[max(0, -o) :][:n]).sum() / (32 * n))
+        return out
+
+    want = {(i, j) for i in range(len(prints)) for j in range(i) if best(prints[i], prints[j]) <= 0.15}
+    rows = spark.createDataFrame([(i, [int(v) for v in p]) for i, p in enumerate(prints)], "id long, prints array<long>")
+    found = {(r.id, r.match_id): r.error for r in align(rows, every=1).collect() if r.match_id is not None}
+    assert all(found[p] <= 0.15 for p in found) and {(max(p), min(p)) for p in found} <= want
+    hit = [p for p in want if p in found]
+    print("recall over all pairs and offsets", len(hit), "of", len(want), "; exact integers", sum(bool(set(prints[i].tolist()) & set(prints[j].tolist())) for i, j in want))
+    assert (81, 80) in found and len(want) > 30 and len(hit) >= 0.95 * len(want)
