@@ -8,45 +8,104 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor shares: ``spark.checkpoint.dir``, set here only where it is unset."""
+    """The folder that every executor shares: ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session gets a temporary folder of its own; on a
+    cluster such a folder is no shared one, so this raises.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
-def checkpointing(spark: SparkSession) -> None:
-    """Make ``DataFrame.checkpoint`` write to the shared folder."""
-    folder = shared_dir(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _write(df: DataFrame, path: str, mode: str = "error") -> None:
+    """Write ``df``; the files of its exchanges go as soon as the job has ended."""
+    spark = df.sparkSession
+    before = spark.conf.get(CLEAN, "false")
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.mode(mode).parquet(path)
+    finally:
+        spark.conf.set(CLEAN, before)
+
+
 def settle(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends in replicated files.
 
     Lost executors then cost a reread and not a recomputation, and later
-    plans read only the columns they need. Exchanges of the finished job are
-    garbage then; the driver is told, so that their files go at once and not
-    when its heap happens to fill.
+    plans read only the columns they need.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/millrace/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    path = f"{shared_dir(df.sparkSession)}/millrace/{what}-{uuid.uuid4().hex}"
+    _write(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Settled tables that go when their last reader has written what it made of them.
+
+    ``keep`` settles a table, ``drop`` empties its files (an overwrite by a
+    table without rows), and leaving the ``with`` block empties all that are
+    still there but those handed to ``leave``, which the result reads.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.folder = f"{shared_dir(spark)}/millrace/{uuid.uuid4().hex}"
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+        self.count = 0
+
+    def keep(self, df: DataFrame, what: str) -> DataFrame:
+        self.count += 1
+        path = f"{self.folder}/{self.count:02d}-{what}"
+        _write(df, path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def drop(self, *frames: DataFrame) -> None:
+        for df in frames:
+            _, path = self.paths.pop(id(df), (None, None))
+            if path:
+                self.spark.range(0).write.mode("overwrite").parquet(path)
+
+    def leave(self, *frames: DataFrame) -> None:
+        for df in frames:
+            self.paths.pop(id(df), None)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop(*[df for df, _ in self.paths.values()])
+
+
+def join_split(big: DataFrame, small: DataFrame, key: str, size: str, total: int, share: int = 2000) -> DataFrame:
+    """``big`` with the columns of ``small`` (one row a ``key``, null keys in neither), left-joined without a hot task.
+
+    ``size`` is the number of rows of ``big`` with that key. Keys of more than
+    one ``share``-th of all rows, fewer than ``share`` of them, are broadcast;
+    the rest meet in an exchange.
+    """
+    hot = F.broadcast(small.where(F.col(size) * share > total))
+    spread = big.join(hot.select(key), key, "left_anti").join(small.where(F.col(size) * share <= total), key, "left")
+    return big.join(hot, key).unionByName(spread)
 
 
 def slices(batch: pa.RecordBatch, column: str, budget: int = 4_000_000) -> Iterator[pa.RecordBatch]:
@@ -154,28 +213,36 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, width: int) -> list[np.nd
     return out
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) -> DataFrame:
-    """(id, component): the smallest id that each id in ``edges`` reaches.
+def components(scratch: Scratch, edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) -> DataFrame:
+    """(id, component): the smallest id that each id in ``edges`` reaches; a settled table.
 
     An edge leads from the larger id u to the smaller v. Each round joins the
-    smaller neighbours of a vertex to the least of them (a window over the few
-    smaller neighbours of u, not over the many larger ones of a hub) and then
-    moves every edge on to the least neighbour of its end, until the graph is
-    stars. Three exchanges a round; each round's table is checkpointed, and
-    the driver sees two counts.
+    smaller neighbours of a vertex to the least of them and then moves every
+    edge on to the least neighbour of its end, until the graph is stars. The
+    least neighbours are an aggregate that combines before its exchange, so a
+    vertex with many neighbours meets nowhere; each round's table replaces the
+    last, and the driver sees one count a round.
     """
-    checkpointing(edges.sparkSession)
-    by_u = Window.partitionBy("u")
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v")
+
+    def least(e: DataFrame) -> DataFrame:
+        return e.groupBy("u").agg(F.min("v").alias("m"))
+
+    e = scratch.keep(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
     for _ in range(most):
-        least = e.withColumn("m", F.min("v").over(by_u))
-        small = least.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v")
-        kept = small.repartition("u").dropDuplicates(["u", "v"]).withColumn("m", F.min("v").over(by_u)).withColumn("several", F.col("m") != F.col("v"))
-        low = kept.where("not several").select(F.col("u").alias("w"), "m")
-        e = kept.drop("m").join(low, F.col("v") == F.col("w"), "left").select("u", F.coalesce("m", "v").alias("v"), (F.col("several") | F.col("m").isNotNull()).alias("open")).checkpoint()
-        if not e.agg(F.count_if("open")).first()[0]:
+        small = e.join(least(e), "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v")
+        small = scratch.keep(small.distinct(), "edges")
+        low = least(small)
+        held = small.join(low, "u").withColumn("several", F.col("m") != F.col("v")).drop("m")
+        moved = held.join(low.withColumnRenamed("u", "w"), F.col("v") == F.col("w"), "left")
+        # an end that is no star's middle yet is moved on; one that is the least of its own neighbours stays
+        moved = moved.select("u", F.coalesce("m", "v").alias("v"), (F.col("several") | F.col("m").isNotNull()).alias("open"))
+        after = scratch.keep(moved.groupBy("u", "v").agg(F.bool_or("open").alias("open")), "edges")
+        scratch.drop(e, small)
+        e = after
+        if not e.where("open").limit(1).count():
             break
-        e = e.drop("open")
     else:
         raise RuntimeError("components did not settle")
-    return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    out = scratch.keep(e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()), "groups")
+    scratch.drop(e)
+    return out

@@ -2,65 +2,80 @@
 
 Documents are sets of word shingles. Sizes fall into bands; within a band two
 sets of the wanted similarity differ in at most k elements. The feature domain
-(64-bit shingle hashes) is cut into k1 first-level partitions, each of them
-into n2 second-level ones, and every subset of n2 - k2 second-level partitions
-of a first-level one is a signature: with k1 * (k2 + 1) > k differences some
-first-level partition holds at most k2 of them, so the sets agree on a subset.
-Sets that share no signature cannot be linked, so no link is lost.
-
-Large sets have ``SPARE`` partitions more than that, and each set leaves out
-its emptiest ones, as many as are spare: no more of a size than all of it. Of
-two similar sets, let t be the larger of the sizes up to which they leave out;
-more partitions agree than one of them has of size t or less, so one that both
-sign agrees. Partitions with few elements, which many documents share, go.
-
-Shared signatures give candidates; the parity of each set in 512 hash cells
-gives a lower bound of the symmetric difference that removes most of them
-without reading texts; the others are verified on whole texts. Candidates are
-drawn in two passes (each document of a bucket with the least one and with one
-that comes first in one of a few pseudo-random orders; then all pairs of a
-bucket that lie in different components), so a group of copies costs a few
-stars and not a clique, while no link between components is missed: after the
-last pass every pair of a bucket is either in one component or was compared.
+(64-bit shingle hashes) is cut into n1 first-level partitions and each of them
+into n2 second-level ones, cells. Every subset of r cells of a first-level
+partition is a signature. Cells in which two sets differ, at most k, cannot fill
+n1 partitions to n2 - r + 1 cells each if k < n1 * (n2 - r + 1): one partition
+is left where r cells agree, and the sets share that subset's signature. Sets
+that share none cannot be linked, so no link is lost.
+
+Bands of up to ``SMALL`` differences have one first-level partition of k + 3
+cells, and all its subsets of three are written. In larger bands subsets are of
+two cells, and they are enumerated only where they can be shared:
+
+* The cells alone are counted first, by key. A cell that no other set has agrees
+  with nothing, and no subset with it is written.
+* Cells that two sets both leave empty, and cells that either leaves out, count
+  as differences too. A set with m non-empty cells may thus leave out any
+  x = m - k - n1 - 1 of them, and leaves out those that most sets have: all
+  above the largest count t that at most x exceed. Of two sets let t be the
+  smaller one; the set that it belongs to has at most x agreeing cells above
+  it, so both sign enough of the others. Cells of passages and lines that many
+  documents repeat go, where a document has enough of its own beside them.
+* A set with too few non-empty cells for that writes its empty ones as well and
+  leaves out none.
+
+Shared signatures give candidates. Each set has a sketch of one to two parity
+bits a shingle: the bits in which two sketches differ are a lower bound of the
+difference of the sets, compared before any text is read; only pairs that pass
+it are verified, on whole texts. Candidates are drawn in two passes (each node
+of a bucket with the least one and with one that comes first in one of a few
+pseudo-random orders; then all pairs of a bucket that lie in different
+components), so a group of copies costs a few stars and not a clique, while no
+link between components is missed: after the last pass every pair of a bucket
+is either in one component or was compared.
+
+A node is a distinct set, whatever rows hold it; its key is a hash of the set.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from fractions import Fraction
-from functools import lru_cache, reduce
+from functools import lru_cache
 from itertools import combinations
+from math import ceil, log, sqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, components, mix64, settle, shingle_sets, slices, utf8
+from .common import U64, Scratch, components, join_split, mix64, shingle_sets, slices, utf8
 
-CELLS = 8
-SPARE = 0.3
+SMALL = 6
+CELLS = 1.6
 SEEN = 200_000
 ORDERS = 8
 
 
 class Bands:
-    """Size bands for a similarity of at least ``num / den``.
+    """Size bands for a similarity of at least ``num / den``; a band's highest size is about 1.5 times its lowest.
 
-    A band holds sizes ``low..high`` with ``high`` about ``low / similarity**3``.
     A pair belongs to the band of its smaller set, so a set signs its own band
     and the band below if a set there can still be similar to it.
     """
 
-    def __init__(self, num: int = 9, den: int = 10, k2: int = 0, n2: int = 1, small: tuple[int, int, int] = (6, 1, 3)):
+    def __init__(self, num: int = 9, den: int = 10):
         self.ratio = Fraction(num, den)
-        self.k2, self.n2, self.small = k2, n2, small
+        self.power = max(1, round(log(1.5) / -log(num / den))) if num < den else 1
 
     @lru_cache(maxsize=None)  # noqa: B019
     def edges(self, upto: int) -> np.ndarray:
         low = [1]
         while low[-1] <= upto:
-            low.append(int(low[-1] / self.ratio**3) + 1)
+            low.append(int(low[-1] / self.ratio**self.power) + 1)
         return np.array(low)
 
     def band(self, size: int) -> int:
@@ -70,120 +85,222 @@ class Bands:
         least = -int(-size * self.ratio // 1)
         return list(range(self.band(max(1, least)), self.band(size) + 1))
 
+    def differ(self, a: int, b: int) -> int:
+        """The most elements in which similar sets of a and b elements can differ: a + b - 2 * ceil(r (a + b) / (1 + r))."""
+        shared = -int(-self.ratio * (a + b) / (1 + self.ratio) // 1)
+        return max(0, a + b - 2 * shared)
+
     @lru_cache(maxsize=None)  # noqa: B019
     def shape(self, band: int) -> tuple[int, int, int, int]:
-        """(first-level partitions, second-level partitions of each, differences allowed in one, partitions to spare)."""
+        """(first-level partitions, cells of each, cells of a subset, differences)."""
         edges = self.edges(1 << 10)
         while len(edges) < band + 2:
             edges = self.edges(2 * int(edges[-1]))
         high = int(edges[band + 1]) - 1
-        most = 0
-        for a in (high, high - 1):  # the largest symmetric difference of a pair whose smaller set has a elements
+        k = 0
+        for a in (high, high - 1):  # the largest difference of a pair whose smaller set has a elements
             if a >= 1:
                 b = int(a / self.ratio)
-                most = max(most, *(self.differ(a, c) for c in range(max(a, b - 2), b + 1)))
-        limit, k2, n2 = self.small
-        if not 0 < most <= limit:
-            k2, n2 = self.k2, self.n2
-        least = -(-(most + 1) // (k2 + 1))
-        spare = int(SPARE * least) if most and not k2 else 0
-        return least + spare, max(n2, k2 + 1), k2, spare
-
-    def differ(self, a: int, b: int) -> int:
-        """The most elements in which similar sets of a and b elements can differ: x + y - 2 * ceil(r (x + y) / (1 + r))."""
-        shared = -int(-self.ratio * (a + b) / (1 + self.ratio) // 1)
-        return max(0, a + b - 2 * shared)
-
-    def signatures(self, items: np.ndarray) -> np.ndarray:
-        """All signatures of one sorted set of hashes."""
-        out = []
+                k = max(k, *(self.differ(a, c) for c in range(max(a, b - 2), b + 1)))
+        if k <= SMALL:
+            return 1, k + 3, 3, k
+        cells = ceil(CELLS * k + 4 * sqrt(k))
+        n1 = max(1, cells // 14)
+        return n1, ceil(cells / n1), 2, k
+
+    def sign(self, items: np.ndarray) -> tuple[np.ndarray, list[int]]:
+        """Keys of one sorted set of hashes, and of each larger band how many cells it may leave out.
+
+        A key above 2^63 is a whole signature, one below a cell: six bits of
+        the band, 25 of the cell's place and 32 of its content.
+        """
+        keys, spare = [], []
         mixed = np.zeros(len(items) + 1, U64)
         np.cumsum(mix64(items ^ U64(0xA5A5A5A5A5A5A5A5)), out=mixed[1:])
         for band in self.of(len(items)):
-            n1, n2, k2, spare = self.shape(band)
-            cells = n1 * n2
-            cuts = (np.arange(cells + 1, dtype=np.float64) * (2.0**64 / cells)).clip(max=2.0**64 - 2048).astype(U64)
+            n1, n2, r, k = self.shape(band)
+            n = n1 * n2
+            cuts = (np.arange(n + 1, dtype=np.float64) * (2.0**64 / n)).clip(max=2.0**64 - 2048).astype(U64)
             at = np.searchsorted(items, cuts)
             at[0], at[-1] = 0, len(items)
-            part = (mixed[at[1:]] - mixed[at[:-1]]).reshape(n1, n2)
-            where = np.arange(n1, dtype=U64) * U64(4096) + U64(band * 0x9E3779B97F4A7C15 % 2**64)
-            for s, subset in enumerate(combinations(range(n2), n2 - k2)):
-                value = where + U64(s)
-                for j in subset:
-                    value = mix64(value ^ (part[:, j] + U64(j + 1)))
-                if spare:
-                    size = at[1:] - at[:-1]
-                    value = value[size > np.searchsorted(np.cumsum(np.bincount(size)), spare, side="right") - 1]
-                out.append(value)
-        return np.concatenate(out)
+            part = mixed[at[1:]] - mixed[at[:-1]]
+            place = np.arange(n, dtype=U64)
+            if r == 3:
+                for s, subset in enumerate(combinations(range(n), r)):
+                    value = U64((band * 4096 + s) * 0x9E3779B97F4A7C15 % 2**64)
+                    for j in subset:
+                        value = mix64(np.array([value ^ (part[j] + U64(j + 1))], U64))[0]
+                    keys.append(np.array([value | U64(1 << 63)], U64))
+                continue
+            full = at[1:] > at[:-1]
+            left = int(full.sum()) - k - n1 - 1
+            if left < 0:
+                full[:], left = True, 0
+            content = mix64(part + place * U64(0x9E3779B97F4A7C15)) >> U64(32)
+            keys.append(((U64(band & 63) << U64(57)) | (place << U64(32)) | content)[full])
+            spare.append(band << 32 | left)
+        return np.concatenate(keys), spare
+
+    def subsets(self, at: np.ndarray, keys: np.ndarray, counts: np.ndarray, spares: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """The signatures of sets (rows ``at``) from their shared keys and how often each is held: (row, signature)."""
+        whole = keys >> U64(63) == 1
+        rows, out = [at[whole]], [keys[whole]]
+        at, keys, counts = at[~whole], keys[~whole], counts[~whole]
+        band = (keys >> U64(57)).astype(np.int64)
+        allowed = {(i, s >> 32 & 63): s & 0xFFFFFFFF for i, found in enumerate(spares) for s in found}
+        order = np.lexsort((keys, -counts, band, at))
+        at, keys, counts, band = at[order], keys[order], counts[order], band[order]
+        group = at * 64 + band
+        start = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))) if len(group) else np.empty(0, np.int64)
+        length = np.diff(np.append(start, len(group)))
+        spare = np.array([allowed[int(g) >> 6, int(g) & 63] for g in group[start]], np.int64)
+        limit = np.where(spare < length, counts[np.minimum(start + spare, len(counts) - 1)], 0) if len(group) else spare
+        kept = counts <= np.repeat(limit, length)
+        at, keys, band = at[kept], keys[kept], band[kept]
+        order = np.lexsort((keys, at))
+        at, keys, band = at[order], keys[order], band[order]
+        n2 = np.array([self.shape(b)[1] for b in range(64)] if len(band) else [1] * 64)[band]
+        part = (keys >> U64(32) & U64((1 << 25) - 1)).astype(np.int64) // n2
+        for step in range(1, int(n2.max(initial=1))):
+            i = np.arange(len(at) - step)
+            i = i[(at[i] == at[i + step]) & (band[i] == band[i + step]) & (part[i] == part[i + step])]
+            if not len(i):
+                break
+            rows.append(at[i])
+            out.append(mix64(keys[i] ^ mix64(keys[i + step])) | U64(1 << 63))
+        return np.concatenate(rows), np.concatenate(out)
 
+    def signatures(self, items: np.ndarray) -> np.ndarray:
+        """All signatures of one set, as if each of its cells were shared and none left out."""
+        keys, spare = self.sign(items)
+        return self.subsets(np.zeros(len(keys), np.int64), keys, np.ones(len(keys), np.int64), [spare])[1]
+
+
+def sketch(items: np.ndarray) -> bytes:
+    """One to two parity bits an element, a power of two of them; halves of a longer sketch fold onto a shorter one."""
+    bits = max(64, 2 << (len(items).bit_length() - 1))
+    odd = np.bincount((items >> U64(7)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """The bits in which two sketches differ: at most the elements in which their sets do."""
+    if len(x) < len(y):
+        x, y = y, x
+    a, b, bits = int.from_bytes(x, "little"), int.from_bytes(y, "little"), 8 * len(x)
+    while bits > 8 * len(y):
+        bits //= 2
+        a = (a >> bits) ^ (a & ((1 << bits) - 1))
+    return (a ^ b).bit_count()
+
+
+def _hashes(sets: list[np.ndarray], seed: int) -> np.ndarray:
+    return np.array([mix64(x ^ U64(seed)).sum(dtype=U64) for x in sets], U64).view(np.int64)
+
+
+def _sets(batches: Iterator[pa.RecordBatch], width: int, strangers: frozenset) -> Iterator[tuple]:
+    """(batch, sets, node keys, second hashes, rows with a doc_id whose set this task has not met lately)."""
+    seen: set[int] = set()
+    for whole in batches:
+        for batch in slices(whole, "text"):
+            sets = shingle_sets(*utf8(batch.column("text")), width)
+            h2 = _hashes(sets, 0x5851F42D4C957F2D)
+            node = _hashes(sets, 0)
+            if strangers:
+                node = np.array([b if (a, b) in strangers else a for a, b in zip(node.tolist(), h2.tolist(), strict=True)], np.int64)
+            fresh = []
+            named = batch.column("doc_id").is_valid().to_pylist()
+            for i, key in enumerate(node.tolist()):
+                if named[i] and len(sets[i]) and key not in seen:
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(key)
+                    fresh.append(i)
+            yield batch, sets, node, h2, fresh
 
-def _cells(items: np.ndarray) -> np.ndarray:
-    odd = np.bincount((items >> U64(7)).astype(np.int64) & (64 * CELLS - 1), minlength=64 * CELLS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
+def _describe(bands: Bands, width: int):
+    """Every row with its set's size, key and second hash; the sketch and the spare cells once for a set in a task."""
 
-PARITY = [f"p{j}" for j in range(CELLS)]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, sets, node, h2, fresh in _sets(batches, width, frozenset()):
+            drawn, spare = [None] * len(sets), [None] * len(sets)
+            for i in fresh:
+                drawn[i], spare[i] = sketch(sets[i]), bands.sign(sets[i])[1]
+            size = pa.array([len(x) for x in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").cast(pa.int64()), size, pa.array(node), pa.array(h2), pa.array(drawn, pa.binary()), pa.array(spare, pa.list_(pa.int64()))],
+                names=["doc_id", "n_shingles", "node", "h2", "sketch", "spare"],
+            )
 
+    return run, "doc_id long, n_shingles long, node long, h2 long, sketch binary, spare array<long>"
 
-def _describe(bands: Bands, width: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), *((p, pa.int64()) for p in PARITY), ("sigs", pa.list_(pa.int64()))])
 
+def _cells(bands: Bands, width: int, strangers: frozenset):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                sets = shingle_sets(*utf8(batch.column("text")), width)
-                named = batch.column("doc_id").is_valid().to_pylist()
-                size = np.array([len(x) for x in sets], np.int64)
-                h1 = np.array([mix64(x).sum(dtype=U64) for x in sets], U64).view(np.int64)
-                h2 = np.array([mix64(x ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64) for x in sets], U64).view(np.int64)
-                odd = np.zeros((len(sets), CELLS), np.int64)
-                sigs, ends = [], [0]
-                for i, items in enumerate(sets):
-                    # a task signs a repeated set once, for a row that can link; h1 and h2 link the others
-                    if len(items) and named[i] and (key := (int(h1[i]), int(h2[i]))) not in seen:
-                        if len(seen) >= SEEN:
-                            seen.clear()
-                        seen.add(key)
-                        odd[i] = _cells(items)
-                        sigs.append(bands.signatures(items))
-                        ends.append(ends[-1] + len(sigs[-1]))
-                    else:
-                        if len(items):
-                            odd[i] = _cells(items)
-                        ends.append(ends[-1])
-                flat = np.concatenate(sigs).view(np.int64) if sigs else np.empty(0, np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").cast(pa.int64()), pa.array(size), pa.array(h1), pa.array(h2), *(pa.array(np.ascontiguousarray(odd[:, j])) for j in range(CELLS)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
-                    schema=schema,
-                )
-
-    return run, ", ".join(["doc_id long", "n_shingles long", "h1 long", "h2 long", *(f"{p} long" for p in PARITY), "sigs array<long>"])
+        for _, sets, node, _, fresh in _sets(batches, width, strangers):
+            keys = [bands.sign(sets[i])[0] for i in fresh]
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(node[fresh], [len(k) for k in keys]))], names=["key", "node"])
+
+    return run, "key long, node long"
+
+
+def _subsets(bands: Bands):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = batch.column("cells")
+            flat = cells.flatten()
+            at = np.repeat(np.arange(len(batch)), np.asarray(cells.value_lengths()))
+            keys, counts = np.asarray(flat.field("key")).view(U64), np.asarray(flat.field("n"))
+            order = np.lexsort((keys, at))  # a set that several tasks wrote has its keys once
+            once = order[np.flatnonzero(np.concatenate(([True], (at[order][1:] != at[order][:-1]) | (keys[order][1:] != keys[order][:-1]))))] if len(order) else order
+            rows, sigs = bands.subsets(at[once], keys[once], counts[once], batch.column("spare").to_pylist())
+            for start in range(0, len(rows), 1 << 20):
+                here = slice(start, start + (1 << 20))
+                yield pa.RecordBatch.from_arrays([pa.array(sigs[here].view(np.int64)), pa.array(np.asarray(batch.column("node"))[rows[here]]), pa.array(np.asarray(batch.column("n"))[rows[here]])], names=["sig", "node", "n"])
+
+    return run, "sig long, node long, n long"
+
+
+def _near(num: int, den: int):
+    """Pairs whose sketches do not prove that they differ in too much: |xy| >= num (nx + ny) / (num + den)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = (batch.column(c).to_pylist() for c in ("na", "nb", "sa", "sb"))
+            keep = [(num + den) * apart(x, y) <= (den - num) * (a + b) for a, b, x, y in zip(*cols, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run, "a long, b long"
+
+
+def _texts(width: int, strangers: frozenset):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, _, node, _, fresh in _sets(batches, width, strangers):
+            texts = batch.column("text").take(pa.array(fresh, pa.int64())).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(node[fresh]), pa.array([zlib.compress(t.encode(), 1) for t in texts], pa.binary())], names=["node", "text"])
+
+    return run, "node long, text binary"
 
 
 def _verify(num: int, den: int, width: int):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    def unpack(values: list[bytes]) -> list[np.ndarray]:
+        return shingle_sets(*utf8(pa.array([zlib.decompress(v).decode() for v in values], pa.large_string())), width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "ta", 2_000_000):
-                left = shingle_sets(*utf8(batch.column("ta")), width)
-                right = shingle_sets(*utf8(batch.column("tb")), width)
+            for batch in slices(whole, "ta", 1_000_000):
+                a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+                ends = dict(zip(a, batch.column("ta").to_pylist(), strict=True)) | dict(zip(b, batch.column("tb").to_pylist(), strict=True))
+                last = dict(zip(ends, unpack(list(ends.values())), strict=True))
                 keep = []
-                for x, y in zip(left, right, strict=True):
-                    shared = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(shared > 0 and den * shared >= num * (len(x) + len(y) - shared))
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], schema=schema).filter(pa.array(keep, pa.bool_()))
-
-    return run
-
+                for i, j in zip(a, b, strict=True):
+                    shared = len(np.intersect1d(last[i], last[j], assume_unique=True))
+                    keep.append(shared > 0 and den * shared >= num * (len(last[i]) + len(last[j]) - shared))
+                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-def _close(num: int, den: int):
-    """True unless sizes or parities prove that the pair (x, y) is not similar: |xy| >= num (nx + ny) / (num + den)."""
-    least, most = F.least("x_n", "y_n"), F.greatest("x_n", "y_n")
-    odd = reduce(lambda s, p: s + F.bit_count(F.col(f"x_{p}").bitwiseXOR(F.col(f"y_{p}"))), PARITY[1:], F.bit_count(F.col("x_p0").bitwiseXOR(F.col("y_p0"))))
-    return (den * least >= num * most) & ((num + den) * odd <= (den - num) * (F.col("x_n") + F.col("y_n")))
+    return run, "a long, b long"
 
 
 def jaccard_components(docs: DataFrame, num: int = 9, den: int = 10, width: int = 3) -> DataFrame:
@@ -196,75 +313,108 @@ def jaccard_components(docs: DataFrame, num: int = 9, den: int = 10, width: int
 
     Null, empty and blank texts have no shingles and are their own component.
     A null doc_id keeps its row with a null component_id and links nothing.
-    Repeated rows are returned as often as they occur. Other columns of
-    ``docs``, whatever their names, are ignored. An empty table gives an empty
-    result. Texts are processed whole.
+    Repeated rows are returned as often as they occur; rows of one doc_id with
+    different texts are documents of their own, each linked by its own text.
+    Other columns of ``docs``, whatever their names, are ignored. An empty table
+    gives an empty result. Texts are processed whole.
     """
+    spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    run, schema = _describe(Bands(num, den), width)
-    known = settle(texts.mapInArrow(run, schema), "shingles")
-    # One document stands for each distinct set: its node.
-    keys = ["h1", "h2", "n_shingles"]
-    rep = known.where("n_shingles > 0 and doc_id is not null").groupBy(*keys).agg(F.min("doc_id").alias("node"))
-    full = known.drop("sigs").join(rep, keys, "left").withColumn("node", F.when(F.col("doc_id").isNotNull(), F.col("node")))
-    full = settle(full, "nodes")
-    facts = full.where("doc_id = node").select("node", F.col("n_shingles").alias("n"), *PARITY).dropDuplicates(["node"])
-
-    # Only buckets of at least two documents go on; a bucket streams through a spillable sort.
-    rows = known.where("doc_id is not null").select(F.explode("sigs").alias("sig"), "doc_id")
-    by_sig = Window.partitionBy("sig")
-    shared = rows.withColumn("lo", F.min("doc_id").over(by_sig)).withColumn("hi", F.max("doc_id").over(by_sig)).where("lo < hi").select("sig", "doc_id")
-    placed = shared.join(full.where("node is not null").select("doc_id", "node").dropDuplicates(["doc_id"]), "doc_id").select("sig", "node")
-    order = F.xxhash64(F.pmod("sig", F.lit(ORDERS).cast("long")), "node")
-    bucket = placed.repartition("sig").dropDuplicates(["sig", "node"]).withColumn("hub", F.min("node").over(by_sig)).withColumn("other", F.min_by("node", order).over(by_sig))
-    bucket = settle(bucket.withColumn("hi", F.max("node").over(by_sig)).where("hub < hi").drop("hi"), "buckets")
-
-    def facts_of(side: str) -> DataFrame:
-        return facts.select(F.col("node").alias(f"{side}_id"), F.col("n").alias(f"{side}_n"), *(F.col(p).alias(f"{side}_{p}") for p in PARITY))
-
-    def apart(comp: DataFrame) -> DataFrame:
-        """Node pairs of a bucket that may be similar and that ``comp`` has apart; buckets of one component are left out first."""
-        held = bucket.select("sig", F.col("node").alias("id")).join(comp, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-        held = held.repartition("sig").withColumn("lo", F.min("c").over(by_sig)).withColumn("hi", F.max("c").over(by_sig)).where("lo < hi").select("sig", "id", "c")
-        left = held.join(facts.withColumnRenamed("node", "id"), "id")
-        x, y = (left.select(*(F.col(c).alias(f"{side}_{c}") for c in ("sig", "id", "c", "n", *PARITY))) for side in "xy")
-        match = (F.col("x_sig") == F.col("y_sig")) & (F.col("x_id") < F.col("y_id")) & (F.col("x_c") != F.col("y_c")) & _close(num, den)
-        return x.join(y, match).select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct()
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        # the same exchange of texts by doc_id serves both joins
-        with_a = pairs.withColumnRenamed("a", "doc_id").join(texts, "doc_id").select(F.col("doc_id").alias("a"), F.col("text").alias("ta"), F.col("b").alias("doc_id"))
-        both = with_a.join(texts, "doc_id").select("a", F.col("doc_id").alias("b"), "ta", F.col("text").alias("tb"))
-        return both.mapInArrow(_verify(num, den, width), "a long, b long").distinct()
-
-    def crossing(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-        """The pairs whose ends ``comp`` has apart."""
-        out = pairs
-        for side in "ab":
-            out = out.join(comp.select(F.col("id").alias(side), F.col("component").alias(f"c{side}")), side, "left")
-        return out.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-    ends = F.array(F.struct(F.least("hub", "node").alias("x_id"), F.greatest("hub", "node").alias("y_id")), F.struct(F.least("other", "node").alias("x_id"), F.greatest("other", "node").alias("y_id")))
-    stars = bucket.select(F.explode(ends).alias("e")).select("e.*").where("x_id < y_id").distinct()
-    found = stars.join(facts_of("x"), "x_id").join(facts_of("y"), "y_id").where(_close(num, den)).select(F.col("x_id").alias("a"), F.col("y_id").alias("b"))
-    found = settle(found, "pairs")
-    comp = settle(components(found), "groups")
-    pairs = settle(found.unionByName(apart(comp)), "pairs")
-
-    # Texts are read for one pair of each document first; of the other pairs, only those count that these links leave apart.
-    tree = settle(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "tree")
-    links = settle(verified(tree), "links")
-    groups = settle(components(links), "groups")
-    rest = settle(crossing(pairs.join(tree, ["a", "b"], "left_anti"), groups), "pairs")
-    failed = links.count() < tree.count()
-    if not rest.isEmpty():
-        more = settle(verified(rest), "links")
-        failed |= more.count() < rest.count()
-        links = links.unionByName(more)
-        groups = settle(components(links), "groups")
-    if failed:  # a bound let a pair through: look again between the components that remain
-        rest = settle(apart(groups).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    signed = texts.where("doc_id is not null and text is not null")
+    bands = Bands(num, den)
+    with Scratch(spark) as scratch:
+        known = written = scratch.keep(texts.mapInArrow(*_describe(bands, width)), "sets")
+        # Two sets with one key (of 64 bits; about one in 10^10 sets): all but the first are keyed by their second hash.
+        sound = known.where("n_shingles > 0 and doc_id is not null")
+        same = sound.groupBy("node").agg(F.min("h2").alias("h2"), F.max("h2").alias("hi")).where("h2 < hi").select("node", F.col("h2").alias("first"))
+        odd = sound.join(same, "node").where("h2 <> first").select("node", "h2").distinct().collect()
+        strangers = frozenset((r.node, r.h2) for r in odd)
+        if strangers:
+            moved = F.when(F.struct("node", "h2").isin([F.struct(F.lit(a), F.lit(b)) for a, b in strangers]), F.col("h2")).otherwise(F.col("node"))
+            known = known.withColumn("node", moved)
+            sound = known.where("n_shingles > 0 and doc_id is not null")
+        facts = scratch.keep(sound.groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("sketch", True).alias("sketch"), F.first("spare", True).alias("spare"), F.min("doc_id").alias("least"), F.count("*").alias("size")), "facts")
+
+        # Keys that several sets have, with how many; a key streams through a spillable sort.
+        by_key = Window.partitionBy("key")
+        held = signed.mapInArrow(*_cells(bands, width, strangers)).withColumn("lo", F.min("node").over(by_key)).withColumn("hi", F.max("node").over(by_key)).withColumn("n", F.count("*").over(by_key))
+        cells = held.where("lo < hi").groupBy("node").agg(F.collect_list(F.struct("key", "n")).alias("cells"))
+        by_sig = Window.partitionBy("sig")
+        placed = cells.join(facts.select("node", "n", "spare"), "node").mapInArrow(*_subsets(bands))
+        order = F.xxhash64(F.pmod("sig", F.lit(ORDERS).cast("long")), "node")
+        bucket = placed.withColumn("hub", F.min("node").over(by_sig)).withColumn("hi", F.max("node").over(by_sig)).withColumn("other", F.min_by("node", order).over(by_sig))
+        bucket = scratch.keep(bucket.where("hub < hi").drop("hi"), "buckets")
+
+        def near(pairs: DataFrame) -> DataFrame:
+            """Pairs (a, b) that sketches do not tell apart."""
+            ends = facts.select("node", "n", "sketch")
+            left = pairs.join(ends.toDF("a", "na", "sa"), "a")
+            return left.join(ends.toDF("b", "nb", "sb"), "b").where(f"{den} * least(na, nb) >= {num} * greatest(na, nb)").mapInArrow(*_near(num, den))
+
+        def across(comp: DataFrame, inside: DataFrame | None = None) -> DataFrame:
+            """Pairs of a bucket of fitting sizes that ``comp`` has apart (and ``inside`` together); buckets of one component are left out first."""
+            rows = bucket.select("sig", F.col("node").alias("id"), "n").join(comp, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+            if inside is not None:
+                rows = rows.join(inside.withColumnRenamed("component", "w"), "id")
+            by = ["sig"] + (["w"] if inside is not None else [])
+            mixed = Window.partitionBy(*by)
+            rows = rows.withColumn("lo", F.min("c").over(mixed)).withColumn("hi", F.max("c").over(mixed)).where("lo < hi").select(*by, "id", "c", "n")
+            x, y = rows.toDF(*by, "a", "x_c", "x_n"), rows.toDF(*by, "b", "y_c", "y_n")
+            fits = f"a < b and x_c <> y_c and {den} * least(x_n, y_n) >= {num} * greatest(x_n, y_n)"
+            return x.join(y, by).where(fits).select("a", "b").distinct()
+
+        def verified(pairs: DataFrame, source: DataFrame) -> DataFrame:
+            both = pairs.join(source.toDF("a", "ta"), "a").join(source.toDF("b", "tb"), "b")
+            return scratch.keep(both.select("a", "b", "ta", "tb").mapInArrow(*_verify(num, den, width)), "links")
+
+        def texts_of(pairs: DataFrame) -> DataFrame:
+            """The texts of the nodes of ``pairs``, each once and packed."""
+            nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+            packed = signed.mapInArrow(*_texts(width, strangers)).join(nodes, "node", "left_semi")
+            return scratch.keep(packed.groupBy("node").agg(F.first("text").alias("text")), "texts")
+
+        def crossing(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+            """The pairs whose ends ``comp`` has apart."""
+            out = pairs
+            for side in "ab":
+                out = out.join(comp.select(F.col("id").alias(side), F.col("component").alias(f"c{side}")), side, "left")
+            return out.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+        ends = F.array(*(F.struct(F.least(h, "node").alias("a"), F.greatest(h, "node").alias("b")) for h in ("hub", "other")))
+        stars = bucket.select(F.explode(ends).alias("e")).select("e.*").where("a < b").distinct()
+        found = scratch.keep(near(stars), "pairs")
+        loose = components(scratch, found)
+        pairs = scratch.keep(found.unionByName(near(across(loose))).distinct(), "pairs")
+        scratch.drop(found, loose)
+
+        # Texts are compared for one pair of each node first; of the other pairs, only those count that these links leave apart.
+        loose = components(scratch, pairs)
+        source = texts_of(pairs)
+        tree = scratch.keep(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "tree")
+        links = verified(tree, source)
+        groups = components(scratch, links)
+        rest = scratch.keep(crossing(pairs.join(tree, ["a", "b"], "left_anti"), groups), "pairs")
+        failed = links.count() < tree.count()
         if not rest.isEmpty():
-            groups = settle(components(links.unionByName(settle(verified(rest), "links"))), "groups")
-    groups = groups.withColumnRenamed("id", "node")
-    return full.join(groups, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node", "doc_id").alias("component_id"))
+            more = verified(rest, source)
+            failed |= more.count() < rest.count()
+            links = scratch.keep(links.unionByName(more), "links")
+            scratch.drop(groups)
+            groups = components(scratch, links)
+        if failed:  # a bound let a pair through that held others back: look again between the groups that remain of its component
+            rest = scratch.keep(near(across(groups, loose)).join(pairs, ["a", "b"], "left_anti"), "pairs")
+            if not rest.isEmpty():
+                last = links.unionByName(verified(rest, texts_of(rest)))
+                scratch.drop(groups)
+                groups = components(scratch, last)
+
+        # The least doc_id of each component, by node; then the nodes' rows, hot ones apart.
+        least = facts.select("node", "least", "size").join(groups.withColumnRenamed("id", "node"), "node", "left").withColumn("group", F.coalesce("component", "node"))
+        whole = least.groupBy("group").agg(F.min("least").alias("component_id"), F.count("*").alias("nodes"))
+        named = join_split(least.select("node", "size", "group"), whole, "group", "nodes", facts.count())
+        named = scratch.keep(named.select("node", "size", "component_id"), "named")
+        scratch.leave(written, named)
+        rows = known.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("node")).alias("node"))
+        done = join_split(rows.where("node is not null"), named, "node", "size", known.count())
+        lone = rows.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+        return done.select("doc_id", "n_shingles", "component_id").unionByName(lone)
