@@ -61,12 +61,16 @@ def fit(texts: Sequence[str], labels: Sequence[str]) -> tuple[list[str], np.ndar
 
 
 def sample(labelled: DataFrame, size: int = SAMPLE, seed: int = 23) -> tuple[list[str], list[str]]:
-    """Texts and labels of about ``size`` rows of ``labelled(doc_id, text, lang)``: those whose ids have the smallest hashes."""
-    rows = labelled.where("lang is not null and text is not null").withColumn("_h", F.xxhash64(F.lit(seed), "doc_id"))
-    least = rows.select("_h").orderBy("_h").limit(size).agg(F.max("_h")).first()[0]
+    """Texts and labels of ``size`` rows of ``labelled(doc_id, text, lang)``: those whose ids, then contents, have the smallest hashes.
+
+    Rows that are alike in all three count once, so the sample does not depend
+    on the order of rows. Only hashes are sorted; texts are read for the rows taken.
+    """
+    rows = labelled.where("lang is not null and text is not null").select("text", "lang", F.struct(F.xxhash64(F.lit(seed), "doc_id").alias("i"), F.xxhash64("text", "lang").alias("t")).alias("_h"))
+    least = rows.select("_h").distinct().orderBy("_h").limit(size).agg(F.max("_h")).first()[0]
     if least is None:
         return [], []
-    found = rows.where(F.col("_h") <= least).select("text", "lang").limit(2 * size).collect()
+    found = rows.where(F.col("_h") <= F.struct(F.lit(least.i).alias("i"), F.lit(least.t).alias("t"))).dropDuplicates(["_h"]).collect()
     return [r.text for r in found], [r.lang for r in found]
 
 
@@ -121,11 +125,12 @@ def identify(docs: DataFrame, languages: Sequence[str], table: np.ndarray, least
     tag = F.lower(F.regexp_extract(F.col("declared").cast("string"), r"^\s*([A-Za-z]+)", 1))
     known = F.array(*(F.lit(n) for n in names))
     declared = F.when(F.col("declared").isNull(), None).otherwise(F.coalesce(F.nullif(F.array_position(known, tag), F.lit(0)) - 1, F.lit(k))).cast("long")
+    kind = "string" if docs.schema["doc_id"].dataType.typeName() == "string" else "long"
     narrow = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), declared.alias("declared"), F.col("suffix").cast("string").alias("suffix"), F.col("host").cast("string").alias("host")
+        F.col("doc_id").cast(kind).alias("doc_id"), F.col("text").cast("string").alias("text"), declared.alias("declared"), F.col("suffix").cast("string").alias("suffix"), F.col("host").cast("string").alias("host")
     )
     held = docs.sparkSession.sparkContext.broadcast(table)
-    schema = "doc_id long, declared long, suffix string, host string, n_grams long, verdict long, logs array<double>"
+    schema = f"doc_id {kind}, declared long, suffix string, host string, n_grams long, verdict long, logs array<double>"
     rows = settle(narrow.mapInArrow(_score(held), schema), "evidence")
 
     # At most (languages + 1) x languages counts come to the driver.

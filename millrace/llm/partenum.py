@@ -56,6 +56,7 @@ from .common import U64, Scratch, components, join_split, mix64, shingle_sets, s
 
 SMALL = 6
 CELLS = 1.6
+GROUP = 8
 SEEN = 200_000
 ORDERS = 8
 
@@ -105,41 +106,47 @@ class Bands:
         if k <= SMALL:
             return 1, k + 3, 3, k
         cells = ceil(CELLS * k + 4 * sqrt(k))
-        n1 = max(1, cells // 14)
+        n1 = max(1, cells // GROUP)
         return n1, ceil(cells / n1), 2, k
 
-    def sign(self, items: np.ndarray) -> tuple[np.ndarray, list[int]]:
-        """Keys of one sorted set of hashes, and of each larger band how many cells it may leave out.
+    def _cut(self, items: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Where the cells of a band begin and end in a sorted set, those to be written, and how many of them may be left out."""
+        n1, n2, _, k = self.shape(band)
+        cuts = (np.arange(n1 * n2 + 1, dtype=np.float64) * (2.0**64 / (n1 * n2))).clip(max=2.0**64 - 2048).astype(U64)
+        at = np.searchsorted(items, cuts)
+        at[0], at[-1] = 0, len(items)
+        full = at[1:] > at[:-1]
+        left = int(full.sum()) - k - n1 - 1
+        return (at, full, left) if left >= 0 else (at, np.ones(n1 * n2, bool), 0)
+
+    def spare(self, items: np.ndarray) -> list[int]:
+        """For each larger band that a set signs, how many of its cells it may leave out."""
+        return [band << 32 | self._cut(items, band)[2] for band in self.of(len(items)) if self.shape(band)[2] == 2]
+
+    def sign(self, items: np.ndarray) -> np.ndarray:
+        """Keys of one sorted set of hashes.
 
         A key above 2^63 is a whole signature, one below a cell: six bits of
         the band, 25 of the cell's place and 32 of its content.
         """
-        keys, spare = [], []
+        keys = []
         mixed = np.zeros(len(items) + 1, U64)
         np.cumsum(mix64(items ^ U64(0xA5A5A5A5A5A5A5A5)), out=mixed[1:])
         for band in self.of(len(items)):
-            n1, n2, r, k = self.shape(band)
-            n = n1 * n2
-            cuts = (np.arange(n + 1, dtype=np.float64) * (2.0**64 / n)).clip(max=2.0**64 - 2048).astype(U64)
-            at = np.searchsorted(items, cuts)
-            at[0], at[-1] = 0, len(items)
+            _, n2, r, _ = self.shape(band)
+            at, full, _ = self._cut(items, band)
             part = mixed[at[1:]] - mixed[at[:-1]]
-            place = np.arange(n, dtype=U64)
             if r == 3:
-                for s, subset in enumerate(combinations(range(n), r)):
-                    value = U64((band * 4096 + s) * 0x9E3779B97F4A7C15 % 2**64)
-                    for j in subset:
-                        value = mix64(np.array([value ^ (part[j] + U64(j + 1))], U64))[0]
-                    keys.append(np.array([value | U64(1 << 63)], U64))
+                chosen = np.array(list(combinations(range(n2), r)))
+                value = np.arange(len(chosen), dtype=U64) + U64(band * 0x9E3779B97F4A7C15 % 2**64)
+                for j in chosen.T:
+                    value = mix64(value ^ (part[j] + j.astype(U64) + U64(1)))
+                keys.append(value | U64(1 << 63))
                 continue
-            full = at[1:] > at[:-1]
-            left = int(full.sum()) - k - n1 - 1
-            if left < 0:
-                full[:], left = True, 0
+            place = np.arange(len(part), dtype=U64)
             content = mix64(part + place * U64(0x9E3779B97F4A7C15)) >> U64(32)
             keys.append(((U64(band & 63) << U64(57)) | (place << U64(32)) | content)[full])
-            spare.append(band << 32 | left)
-        return np.concatenate(keys), spare
+        return np.concatenate(keys)
 
     def subsets(self, at: np.ndarray, keys: np.ndarray, counts: np.ndarray, spares: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
         """The signatures of sets (rows ``at``) from their shared keys and how often each is held: (row, signature)."""
@@ -172,8 +179,8 @@ class Bands:
 
     def signatures(self, items: np.ndarray) -> np.ndarray:
         """All signatures of one set, as if each of its cells were shared and none left out."""
-        keys, spare = self.sign(items)
-        return self.subsets(np.zeros(len(keys), np.int64), keys, np.ones(len(keys), np.int64), [spare])[1]
+        keys = self.sign(items)
+        return self.subsets(np.zeros(len(keys), np.int64), keys, np.ones(len(keys), np.int64), [self.spare(items)])[1]
 
 
 def sketch(items: np.ndarray) -> bytes:
@@ -219,27 +226,27 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int, strangers: frozenset) -
             yield batch, sets, node, h2, fresh
 
 
-def _describe(bands: Bands, width: int):
+def _describe(bands: Bands, width: int, kind: str):
     """Every row with its set's size, key and second hash; the sketch and the spare cells once for a set in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sets, node, h2, fresh in _sets(batches, width, frozenset()):
             drawn, spare = [None] * len(sets), [None] * len(sets)
             for i in fresh:
-                drawn[i], spare[i] = sketch(sets[i]), bands.sign(sets[i])[1]
+                drawn[i], spare[i] = sketch(sets[i]), bands.spare(sets[i])
             size = pa.array([len(x) for x in sets], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), size, pa.array(node), pa.array(h2), pa.array(drawn, pa.binary()), pa.array(spare, pa.list_(pa.int64()))],
+                [batch.column("doc_id"), size, pa.array(node), pa.array(h2), pa.array(drawn, pa.binary()), pa.array(spare, pa.list_(pa.int64()))],
                 names=["doc_id", "n_shingles", "node", "h2", "sketch", "spare"],
             )
 
-    return run, "doc_id long, n_shingles long, node long, h2 long, sketch binary, spare array<long>"
+    return run, f"doc_id {kind}, n_shingles long, node long, h2 long, sketch binary, spare array<long>"
 
 
 def _cells(bands: Bands, width: int, strangers: frozenset):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, sets, node, _, fresh in _sets(batches, width, strangers):
-            keys = [bands.sign(sets[i])[0] for i in fresh]
+            keys = [bands.sign(sets[i]) for i in fresh]
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(node[fresh], [len(k) for k in keys]))], names=["key", "node"])
 
@@ -316,14 +323,17 @@ def jaccard_components(docs: DataFrame, num: int = 9, den: int = 10, width: int
     Repeated rows are returned as often as they occur; rows of one doc_id with
     different texts are documents of their own, each linked by its own text.
     Other columns of ``docs``, whatever their names, are ignored. An empty table
-    gives an empty result. Texts are processed whole.
+    gives an empty result. Texts are processed whole. A doc_id is a whole number
+    or a struct, which orders by its fields.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    given = docs.schema["doc_id"].dataType
+    kind = given.simpleString() if given.typeName() == "struct" else "long"
+    texts = docs.select(F.col("doc_id").cast(kind).alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = texts.where("doc_id is not null and text is not null")
     bands = Bands(num, den)
     with Scratch(spark) as scratch:
-        known = written = scratch.keep(texts.mapInArrow(*_describe(bands, width)), "sets")
+        known = written = scratch.keep(texts.mapInArrow(*_describe(bands, width, kind)), "sets")
         # Two sets with one key (of 64 bits; about one in 10^10 sets): all but the first are keyed by their second hash.
         sound = known.where("n_shingles > 0 and doc_id is not null")
         same = sound.groupBy("node").agg(F.min("h2").alias("h2"), F.max("h2").alias("hi")).where("h2 < hi").select("node", F.col("h2").alias("first"))
@@ -338,12 +348,13 @@ def jaccard_components(docs: DataFrame, num: int = 9, den: int = 10, width: int
         # Keys that several sets have, with how many; a key streams through a spillable sort.
         by_key = Window.partitionBy("key")
         held = signed.mapInArrow(*_cells(bands, width, strangers)).withColumn("lo", F.min("node").over(by_key)).withColumn("hi", F.max("node").over(by_key)).withColumn("n", F.count("*").over(by_key))
-        cells = held.where("lo < hi").groupBy("node").agg(F.collect_list(F.struct("key", "n")).alias("cells"))
+        cells = scratch.keep(held.where("lo < hi").groupBy("node").agg(F.collect_list(F.struct("key", "n")).alias("cells")), "cells")
         by_sig = Window.partitionBy("sig")
         placed = cells.join(facts.select("node", "n", "spare"), "node").mapInArrow(*_subsets(bands))
         order = F.xxhash64(F.pmod("sig", F.lit(ORDERS).cast("long")), "node")
         bucket = placed.withColumn("hub", F.min("node").over(by_sig)).withColumn("hi", F.max("node").over(by_sig)).withColumn("other", F.min_by("node", order).over(by_sig))
         bucket = scratch.keep(bucket.where("hub < hi").drop("hi"), "buckets")
+        scratch.drop(cells)
 
         def near(pairs: DataFrame) -> DataFrame:
             """Pairs (a, b) that sketches do not tell apart."""
