@@ -18,13 +18,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, settle
+from .common import Scratch, components, join_split
 
 SAMPLE = 16_384
 PIVOTS = (256, 4096)
@@ -92,20 +93,21 @@ def list_keys(order: np.ndarray, shared: int) -> np.ndarray:
 def _index(held, first: int, shared: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivots = held.value
+        k = comb(min(first, len(pivots)), min(shared, min(first, len(pivots))))
         for batch in batches:
             vectors, good = unit(batch.column("embedding"), pivots.shape[1])
-            if not good.any():
-                continue
-            raw = np.asarray(batch.column("embedding").flatten()).reshape(len(vectors), -1).astype(kind)
-            vectors, ids = vectors[good], np.asarray(batch.column("node"))[good]
-            keys = list_keys(orders(vectors, pivots, first), shared)
-            n, k = keys.shape
+            sizes = np.asarray(batch.column("embedding").value_lengths())
+            keys = np.repeat(-sizes.astype(np.int64)[:, None], k, axis=1)  # other lengths: one list each
+            if good.any():
+                keys[good] = list_keys(orders(vectors[good], pivots, first), shared)
+            flat = np.asarray(batch.column("embedding").flatten()).astype(kind)
+            ends = np.cumsum(sizes)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(ids),
-                    pa.array(np.asarray(batch.column("copies"))[good]),
+                    batch.column("node"),
+                    batch.column("copies"),
                     pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), k).cast(pa.list_(pa.int64())),
-                    pa.array([v.tobytes() for v in raw[good]], pa.binary()),
+                    pa.array([flat[e - n : e].tobytes() for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)], pa.binary()),
                 ],
                 names=["node", "copies", "lists", "vector"],
             )
@@ -114,10 +116,12 @@ def _index(held, first: int, shared: int, kind: str):
 
 
 def _scaled(vectors: pa.Array, kind: str) -> np.ndarray:
-    """Vectors in their stored precision as rows of length one in double precision."""
-    width = len(vectors[0].as_py()) // np.dtype(kind).itemsize
-    data = b"".join(vectors.to_pylist())
-    return unit(pa.FixedSizeListArray.from_arrays(pa.array(np.frombuffer(data, kind)), width).cast(pa.list_(pa.from_numpy_dtype(np.dtype(kind)))), width)[0]
+    """Vectors in their stored precision as rows of length one in double precision; shorter ones end in zeros."""
+    rows = [np.frombuffer(v, kind) for v in vectors.to_pylist()]
+    full = np.zeros((len(rows), max(len(r) for r in rows)), kind)
+    for at, r in enumerate(rows):
+        full[at, : len(r)] = r
+    return unit(pa.FixedSizeListArray.from_arrays(pa.array(full.ravel()), full.shape[1]).cast(pa.list_(pa.from_numpy_dtype(np.dtype(kind)))), full.shape[1])[0]
 
 
 def _pairs(least: float, key: int, a: slice, b: slice, unit_rows: np.ndarray, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -195,46 +199,54 @@ def near_duplicates(rows: DataFrame, least: float = 0.95, pivots: int | None = N
     square root of the number of vectors within ``PIVOTS``, so that lists stay
     short as the table grows.
 
-    Vectors that are null, zero, of another length than most, or hold null or
-    non-finite components link with nothing. Equal vectors are one node of the
+    Vectors that are null, empty, zero, or hold null or non-finite components
+    link with nothing. Vectors of different lengths don't link; those of another
+    length than most have no pivots, so each such length is one list, in which
+    all pairs are compared, block by block. Equal vectors are one node of the
     index and linked with each other. Repeated rows are vectors of their own,
-    which share a vec_id. A null vec_id keeps its row, with null component_id
-    and kept, and links with nothing. Other columns are ignored; an empty table
+    which share a vec_id; rows of one vec_id with different vectors are linked
+    each by its own. A null vec_id keeps its row, with null component_id and
+    kept, and links with nothing. Other columns are ignored; an empty table
     gives an empty result.
     """
     spark = rows.sparkSession
     kind = "f4" if rows.schema["embedding"].dataType.elementType.typeName() == "float" else "f8"  # floats travel as floats
     plain = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{'float' if kind == 'f4' else 'double'}>").alias("embedding"))
-    size = plain.where("embedding is not null").groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    dim = size.n if size else 0
-    sound = f"vec_id is not null and size(embedding) = {dim} and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0)"
+    sound = "vec_id is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0)"
     plain = plain.withColumn("sound", F.coalesce(F.expr(sound), F.lit(False)))
     plain = plain.withColumn("same", F.when(F.col("sound"), F.md5(F.array_join(F.transform("embedding", lambda x: F.when(x == 0, F.lit("0")).otherwise(x.cast("string"))), ","))))
-    marked = settle(plain, "vectors")
-    nodes = marked.where("sound").groupBy("same").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"))
-    full = settle(marked.select("vec_id", "same").join(nodes, "same", "left").select("vec_id", "node", "copies"), "nodes")
-
-    sample = marked.where("sound").orderBy(F.xxhash64(F.lit(seed), "vec_id"), "same").limit(SAMPLE).select("embedding").toArrow()
-    points, _ = unit(sample.column(0).combine_chunks(), dim) if sample.num_rows else (np.zeros((0, dim)), None)
-    if not len(points):
-        return full.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.expr("vec_id = vec_id").alias("kept"))
-    count = pivots or min(PIVOTS[1], max(PIVOTS[0], int(nodes.count() ** 0.5)))
-    held = spark.sparkContext.broadcast(fit_pivots(points, count, seed))
-
-    one = full.where("vec_id = node").select("node", "copies").dropDuplicates(["node"])
-    body = marked.where("sound").select(F.col("vec_id").alias("node"), "embedding").join(one, "node").dropDuplicates(["node"])
-    index = settle(body.mapInArrow(_index(held, first, shared, kind), "node long, copies long, lists array<long>, vector binary"), "index")
-    # Lists of one member link nothing; long ones are dealt out as pairs of blocks.
-    lengths = index.select(F.explode("lists").alias("list")).groupBy("list").count().where("count > 1").withColumn("blocks", F.expr(f"cast(ceil(count / {block}D) as int)")).drop("count")
-    member = index.select(F.explode("lists").alias("list"), "node").join(lengths, "list")
-    member = member.withColumn("block", F.expr("cast(pmod(xxhash64(node, list), blocks) as int)"))
-    dealt = member.select("list", "node", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("list", "node", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    groups = dealt.join(index, "node").repartition("list", "lo", "hi").sortWithinPartitions("list", "lo", "hi", "block")
-    found = settle(groups.select("list", "lo", "hi", "block", "node", "copies", "lists", "vector").mapInArrow(_links(least, kind), "node long, links long, low long"), "links")
-
-    counts = found.groupBy("node").agg(F.sum("links").alias("links"))
-    comp = components(found.where("low < node").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()).withColumnRenamed("id", "node")
-    out = full.join(counts, "node", "left").join(comp, "node", "left")
-    root = F.coalesce("component", "node", "vec_id")
-    return out.select("vec_id", (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).cast("long").alias("n_links"), F.when(F.col("vec_id").isNotNull(), root).alias("component_id"), (F.col("vec_id") == root).alias("kept"))
+    with Scratch(spark) as scratch:
+        marked = scratch.keep(plain, "vectors")
+        # A node is a distinct vector, whatever rows hold it; it is numbered where it is written.
+        each = marked.where("sound").groupBy("same").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
+        nodes = scratch.keep(each.withColumn("node", F.monotonically_increasing_id()), "nodes")
+        common = nodes.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
+        if common is None:
+            scratch.leave(marked)
+            return marked.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.expr("vec_id = vec_id").alias("kept"))
+        total = nodes.count()
+        sample = nodes.where(F.size("embedding") == common.n).orderBy(F.xxhash64(F.lit(seed), "same"), "same").limit(SAMPLE).select("embedding").toArrow()
+        points, _ = unit(sample.column(0).combine_chunks(), common.n)
+        count = pivots or min(PIVOTS[1], max(PIVOTS[0], int(total**0.5)))
+        held = spark.sparkContext.broadcast(fit_pivots(points, count, seed))
+
+        index = scratch.keep(nodes.select("node", "copies", "embedding").mapInArrow(_index(held, first, shared, kind), "node long, copies long, lists array<long>, vector binary"), "index")
+        # Lists of one member link nothing; long ones are dealt out as pairs of blocks.
+        listed = index.select(F.explode(F.array_distinct("lists")).alias("list"), "node")
+        lengths = listed.groupBy("list").count().where("count > 1").withColumn("blocks", F.expr(f"cast(ceil(count / {block}D) as int)")).drop("count")
+        member = listed.join(lengths, "list").withColumn("block", F.expr("cast(pmod(xxhash64(node, list), blocks) as int)"))
+        dealt = member.select("list", "node", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        dealt = dealt.select("list", "node", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+        groups = dealt.join(index, "node").repartition("list", "lo", "hi").sortWithinPartitions("list", "lo", "hi", "block")
+        found = scratch.keep(groups.select("list", "lo", "hi", "block", "node", "copies", "lists", "vector").mapInArrow(_links(least, kind), "node long, links long, low long"), "links")
+
+        counts = found.groupBy("node").agg(F.sum("links").alias("links"))
+        comp = components(scratch, found.where("low < node").select(F.col("low").alias("a"), F.col("node").alias("b"))).withColumnRenamed("id", "node")
+        every = nodes.select("node", "same", "least", "copies").join(counts, "node", "left").join(comp, "node", "left").withColumn("group", F.coalesce("component", "node"))
+        lowest = every.groupBy("group").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+        named = scratch.keep(join_split(every.select("same", "copies", "links", "group"), lowest, "group", "members", total).select("same", "copies", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "named")
+        scratch.leave(marked, named)
+        done = join_split(marked.where("sound").select("vec_id", "same"), named, "same", "copies", marked.count())
+        done = done.select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+        lone = marked.where("not sound").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.expr("vec_id = vec_id").alias("kept"))
+        return done.unionByName(lone)

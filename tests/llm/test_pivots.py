@@ -74,3 +74,10 @@ def test_repeats_and_empty_tables(spark):
     assert near_duplicates(df.limit(0)).count() == 0
     nothing = near_duplicates(df.withColumn("embedding", F.lit(None).cast("array<double>")))
     assert {r.n_links for r in nothing.collect()} == {0}
+
+
+def test_rows_that_share_a_vec_id_and_vectors_of_other_lengths(spark):
+    a, near_b, b = [1.0, 0.0, 0.1], [0.1, 1.0, 0.0], [0.11, 1.0, 0.01]
+    rows = [(1, a), (1, b), (2, near_b), (3, [x * 1.01 + 0.01 for x in a]), (8, [1.0, 0.1]), (9, [1.0, 0.12]), (6, [0.0, -1.0])]
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (6, 0, 6, True), (8, 1, 8, True), (9, 1, 8, False)]
