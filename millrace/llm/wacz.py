@@ -99,7 +99,7 @@ class ZipWriter:
         self._put(struct.pack("<IHHHHIIH", 0x06054B50, 0, 0, n, n, size, start, 0))
 
 
-def warc_record(kind: str, uri: str, payload: bytes, digest: str, length: int, number: int, refers_to: int | None) -> bytes:
+def warc_record(kind: str, uri: str, payload: bytes, digest: str, length: int, number: int | None, refers_to: int | None) -> bytes:
     """One record. A revisit has headers only; its payload is that of the page it refers to."""
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % length
     block = head + (payload if kind == "response" else b"")
@@ -112,8 +112,9 @@ def warc_record(kind: str, uri: str, payload: bytes, digest: str, length: int, n
         "Content-Type: application/http;msgtype=response",
         f"WARC-Payload-Digest: sha1:{digest}",
         f"X-Payload-Length: {length}",
-        f"X-Page-ID: {number}",
     ]
+    if number is not None:
+        lines.append(f"X-Page-ID: {number}")
     if refers_to is not None:
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page: {refers_to}"]
     lines.append(f"Content-Length: {len(block)}")
@@ -141,7 +142,7 @@ class PackageWriter:
         data = gzip_member(warc_record(page["record_type"], page["url"] or "", page["payload"], page["digest"], page["length"], page["page_id"], page["refers_to"]))
         self.zip.write(data)
         self.sha.update(data)
-        self.index.append(f"{page['page_id']} " + json.dumps({"digest": page["digest"], "offset": self.at, "length": len(data)}))
+        self.index.append(f"{'-' if page['page_id'] is None else page['page_id']} " + json.dumps({"digest": page["digest"], "offset": self.at, "length": len(data)}))
         self.pages.append(json.dumps({"id": page["page_id"], "url": page["url"] or ""}))
         self.at += len(data)
 
@@ -251,8 +252,8 @@ def read_package(uri: str, run: int = 1 << 22) -> Iterator[tuple[int, dict[str,
         for line in package.whole(INDEX).decode().splitlines():
             number, _, about = line.partition(" ")
             about = json.loads(about)
-            entries.append((about["offset"], about["length"], int(number)))
-        entries.sort()
+            entries.append((about["offset"], about["length"], None if number == "-" else int(number)))
+        entries.sort(key=lambda e: e[0])
         held, start = b"", 0
         for offset, length, number in entries:
             if offset + length > size:
@@ -272,8 +273,6 @@ def _write(folder: str, most: int):
         writer, done = None, []
         for batch in batches:
             for row in batch.to_pylist():
-                if row["page_id"] is None:
-                    continue
                 if writer is None:
                     writer = PackageWriter(folder)
                 writer.add(row | {"payload": (row["html"] or "").encode()})
@@ -323,15 +322,16 @@ def plan_records(pages: DataFrame, least: int = 1000, salts: int = 16) -> DataFr
     """
     html = F.coalesce("html", F.lit(""))
     narrow = pages.select("page_id", F.sha1(html).alias("digest"), F.octet_length(html).cast("long").alias("length"))
-    narrow = settle(narrow, "digests").withColumn("salt", F.pmod("page_id", F.lit(salts).cast("long")))
+    narrow = settle(narrow, "digests").withColumn("salt", F.coalesce(F.pmod("page_id", F.lit(salts).cast("long")), F.lit(0).cast("long")))
     large = narrow.where(f"length >= {least}")
     repeated = large.groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first", F.explode(F.expr(f"sequence(0L, {salts - 1}L)")).alias("salt"))
+    later = F.col("first").isNotNull() & (F.col("page_id").isNull() | (F.col("first") > F.col("page_id")))
     return narrow.join(repeated, ["digest", "salt"], "left").select(
         "page_id",
         "digest",
         "length",
-        F.when(F.col("first") > F.col("page_id"), "revisit").otherwise("response").alias("record_type"),
-        F.when(F.col("first") > F.col("page_id"), F.col("first")).alias("refers_to"),
+        F.when(later, "revisit").otherwise("response").alias("record_type"),
+        F.when(later, F.col("first")).alias("refers_to"),
     )
 
 
@@ -343,15 +343,16 @@ def write_packages(pages: DataFrame, folder: str, least: int = 1000, most: int =
     response and the others are revisits without a payload of their own;
     smaller ones are all responses. Repeated rows are written as often as they
     occur (those that share the largest page_id are all responses). Rows
-    without a page_id are left out: nothing could name them. Null urls are
-    empty. Other columns are ignored. An empty table writes no file.
+    without a page_id are written without one, as revisits where a page with
+    one has their payload. Null urls are empty. Other columns are ignored. An empty table writes no file.
 
     The html is shuffled once, by page_id, where it meets its plan.
     """
     plan = plan_records(pages, least).dropDuplicates(["page_id", "digest"])
     html = F.coalesce("html", F.lit(""))
     full = pages.select("page_id", F.col("url").cast("string").alias("url"), "html", F.sha1(html).alias("digest"))
-    rows = full.join(plan, ["page_id", "digest"]).select("page_id", "url", F.when(F.col("record_type") == "response", F.col("html")).alias("html"), "digest", "length", "record_type", "refers_to")
+    same = F.col("f.page_id").eqNullSafe(F.col("p.page_id")) & (F.col("f.digest") == F.col("p.digest"))
+    rows = full.alias("f").join(plan.alias("p"), same).select("f.*", "p.length", "p.record_type", "p.refers_to").select("page_id", "url", F.when(F.col("record_type") == "response", F.col("html")).alias("html"), "digest", "length", "record_type", "refers_to")
     return settle(rows.mapInArrow(_write(folder, most), "package string, records long"), "packages")
 
 
