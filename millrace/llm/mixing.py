@@ -62,7 +62,7 @@ def highest_quotients(votes: DataFrame, group: list[str], key: str, vote: str, s
     base = (
         votes.withColumn("_votes", F.sum(vote).over(all_of))
         .withColumn("_keys", F.count("*").over(all_of))
-        .withColumn("_q", F.expr(f"if(_votes > 0, {vote} * {seats} / cast(_votes as double), 0D)"))
+        .withColumn("_q", F.expr(f"if(_votes > 0, cast({vote} as double) * {seats} / cast(_votes as double), 0D)"))
         .withColumn("_base", F.expr(f"least(cast(floor(_q + 0.5D) as bigint), {most})"))
         .withColumn("_miss", F.expr(f"{seats}") - F.sum("_base").over(all_of))
         .withColumn("_reach", F.expr(f"cast(floor(_q * 2 * _keys / greatest({seats}, 1)) as bigint) + 1"))
@@ -94,15 +94,17 @@ def highest_quotients(votes: DataFrame, group: list[str], key: str, vote: str, s
     return joined.select(*(F.col(f"b.{c}") for c in votes.columns), (F.col("b._base") + F.coalesce(F.col("m._moved"), F.lit(0))).alias(out))
 
 
-def mix(docs: DataFrame, weights: DataFrame | None = None, share: float = 1.5, most: int = 2, block: int = 16, shard_rows: int = 128, most_shards: int = 4096, seed: int = 17, key: str | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: DataFrame | None = None, share: float = 1.5, most: int = 2, block: int = 1, shard_rows: int = 128, most_shards: int = 4096, seed: int = 17, key: str | None = None) -> DataFrame:
     """(doc_id, source, shard, size, source_size, target, taken) for every row of ``docs(doc_id, text, source)``.
 
     ``weights(source, weight)`` holds a positive whole number for each source;
     without it, sources in code-point order, null last, weigh 3, 1, 2, 3, ...
     ``taken`` is the number of words that the mix takes of a document, repeats
     counted: 0 to ``most`` times its size. A source's taken words differ from
-    its target by less than one block for each of its shards, plus one. A rerun
-    gives the same result.
+    its target by less than one block for each of its shards, plus one: a shard's
+    last block may be short, so blocks of one word (the default) meet the target
+    to a word or two, however short the documents are. A rerun gives the same
+    result.
 
     A null source is a source of its own; null and blank texts have size 0 and
     give nothing; a null doc_id is placed as a key of its own. Repeated rows

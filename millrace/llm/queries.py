@@ -13,7 +13,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"), share=1.5, most=2, block=16, seed=17).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(table(spark, sf_dir, "documents"), share=1.5, most=2, block=1, seed=17).select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP1_SQL = r"""
@@ -35,11 +35,11 @@ narrow as (
   select d.doc_id, d.source, d.size, d.code, t.source_size, t.target, ('0x' || substr(d.code, 1, 8))::bigint % t.shards as shard
   from sized d join tgt t on d.source is not distinct from t.source),
 sh as (
-  select source, shard, sum(size)::bigint as shard_size, any_value(source_size) as source_size, any_value(target) as target, ceil(sum(size) / 16.0)::bigint as blocks from narrow group by source, shard),
+  select source, shard, sum(size)::bigint as shard_size, any_value(source_size) as source_size, any_value(target) as target, sum(size)::bigint as blocks from narrow group by source, shard),
 bs as (
   select source, any_value(source_size) as source_size, floor(any_value(target) * 1024)::bigint as vote, sum(blocks)::bigint as blocks from sh group by source),
 bq as (
-  select *, floor((sum(source_size) over ()) * 1.5::double / 16 + 0.5)::bigint as seats, vote * floor((sum(source_size) over ()) * 1.5::double / 16 + 0.5)::bigint / greatest(1, sum(vote) over ())::double as q from bs),
+  select *, floor((sum(source_size) over ()) * 1.5::double + 0.5)::bigint as seats, vote::double * floor((sum(source_size) over ()) * 1.5::double + 0.5)::bigint / greatest(1, sum(vote) over ())::double as q from bs),
 bseat as (
   select source, vote, seats, unnest(range(greatest(1, floor(q)::bigint - 50), least(2 * blocks, floor(q)::bigint + 50) + 1)) as seat from bq where vote > 0),
 brank as (
@@ -64,7 +64,7 @@ laid as (
     case when p.blocks > 0 then p.quota % p.blocks else 0 end as rest, case when p.blocks > 0 then p.quota // p.blocks else 0 end as turns
   from narrow n join place p on n.source is not distinct from p.source and n.shard = p.shard)
 select doc_id, size::bigint as size, source_size, target,
-  (size * turns + greatest(0, least(e, (first + rest) * 16, shard_size) - greatest(e - size, first * 16)) + greatest(0, least(e, greatest(0, first + rest - blocks) * 16) - (e - size)))::bigint as taken
+  (size * turns + greatest(0, least(e, first + rest, shard_size) - greatest(e - size, first)) + greatest(0, least(e, greatest(0, first + rest - blocks)) - (e - size)))::bigint as taken
 from laid
 """
 
@@ -128,8 +128,8 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP7_SQL = """
 with p as (select page_id, octet_length(encode(coalesce(html, ''))) as n, sha1(coalesce(html, '')) as d from pages),
 f as (select *, max(page_id) over (partition by d) as first from p)
-select page_id, n::bigint as payload_bytes, d as payload_digest, case when n >= 1000 and first <> page_id then 'revisit' else 'response' end as record_type,
-  case when n >= 1000 and first <> page_id then first end as refers_to
+select page_id, n::bigint as payload_bytes, d as payload_digest, case when n >= 1000 and first is distinct from page_id then 'revisit' else 'response' end as record_type,
+  case when n >= 1000 and first is distinct from page_id then first end as refers_to
 from f
 """
 
