@@ -24,6 +24,7 @@ RATE, FRAME, HOP = 5512, 1024, 256
 LOW, HIGH = 55.0, 2200.0
 SPAN = 12
 PART = 64
+SPLIT = 16
 #: Filters as (kind, first class, classes, frames): 0 whole against nothing in log, 1 halves by class, 2 halves by time, 3 quarters, 4 and 5 thirds.
 FILTERS = [(k, c, h, w) for k, c, h, w in zip((1, 2, 3, 1, 2, 3, 4, 5, 1, 2, 3, 4, 5, 1, 2, 3), (0, 4, 2, 6, 8, 0, 3, 0, 2, 0, 6, 0, 6, 4, 1, 4), (6, 4, 6, 4, 3, 12, 9, 12, 8, 12, 4, 6, 6, 8, 6, 8), (3, 8, 10, 12, 12, 6, 4, 9, 6, 4, 8, 10, 12, 10, 12, 4), strict=True)]
 CUTS = (-0.12, 0.0, 0.12)
@@ -181,7 +182,8 @@ def align(prints: DataFrame, every: int = 20, agree: int = 1, most_errors: float
     the 32 that differ from it in one bit; a candidate has at least ``agree``
     of them at its best offset (the tests measure the recall). Lists are cut in parts of
     bounded length, so a common integer is no hot key, and none is dropped;
-    each query's histogram of offsets is counted where its lists meet. Recordings without
+    each query's histogram of offsets is counted in ``SPLIT`` parts, by the place
+    of the asked integer, and then summed, so no query is a hot key. Recordings without
     prints are their own class and match nothing, a null id has a null class,
     repeated rows are copies, other columns are ignored, an empty table gives an
     empty result.
@@ -206,7 +208,7 @@ def align(prints: DataFrame, every: int = 20, agree: int = 1, most_errors: float
     lists = held.withColumn("part", F.expr("pmod(xxhash64(class_id, at), parts)")).groupBy("print", "part").agg(F.collect_list(F.struct("class_id", "at")).alias("members"))
     asked = probes.join(shared, "print").select("q", "q_at", "print", F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"))
     met = asked.join(lists, ["print", "part"]).select("q", F.col("q_at").cast("long").alias("q_at"), "members")
-    counted = met.repartition("q").sortWithinPartitions("q").mapInArrow(_histogram, "q long, class_id long, offset int, votes long")
+    counted = met.repartition("q", F.pmod("q_at", F.lit(SPLIT).cast("long"))).sortWithinPartitions("q").mapInArrow(_histogram, "q long, class_id long, offset int, votes long")
     votes = counted.groupBy("q", "class_id", "offset").agg(F.sum("votes").alias("votes")).where(f"votes >= {agree}")
     best = votes.groupBy("q", "class_id").agg(F.max_by("offset", F.struct("votes", -F.abs("offset"), "offset")).alias("offset"))
     pairs = best.join(one.select(F.col("class_id").alias("q"), F.col("prints").alias("mine")), "q").join(one.select("class_id", F.col("prints").alias("theirs")), "class_id")
