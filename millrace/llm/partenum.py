@@ -415,7 +415,7 @@ def jaccard_components(docs: DataFrame, num: int = 9, den: int = 10, width: int
         if failed:  # a bound let a pair through that held others back: look again between the groups that remain of its component
             rest = scratch.keep(near(across(groups, loose)).join(pairs, ["a", "b"], "left_anti"), "pairs")
             if not rest.isEmpty():
-                last = links.unionByName(verified(rest, texts_of(rest)))
+                last = links.unionByName(verified(rest, source))  # their nodes are all in ``pairs``
                 scratch.drop(groups)
                 groups = components(scratch, last)
 

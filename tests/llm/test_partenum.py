@@ -1,6 +1,8 @@
 import random
 
-from millrace.llm.partenum import Bands, jaccard_components
+import pytest
+
+from millrace.llm.partenum import Bands, apart, jaccard_components, sketch
 from millrace.llm.common import shingle_sets, utf8
 import numpy as np
 import pyarrow as pa
@@ -69,18 +71,49 @@ def test_a_null_id_before_its_twin_takes_no_links(spark):
     assert got == sorted([(None, None), (7, 4), (4, 4), (None, None)], key=str)
 
 
-def test_signatures_cover_every_similar_pair():
+def similar(rng, n, num, den):
+    """Two random sets, the first of n elements, that are just similar enough."""
+    a = rng.integers(0, 2**64, n, np.uint64)
+    out = int(rng.integers(0, n * (den - num) // den + 1))
+    inn = (den * (n - out)) // num - n
+    return (np.sort(a), np.sort(np.concatenate([a[out:], rng.integers(0, 2**64, inn, np.uint64)]))) if inn >= 0 else similar(rng, n, num, den)
+
+
+@pytest.mark.parametrize("num", [9, 8])
+def test_signatures_cover_every_similar_pair(num):
     rng = np.random.default_rng(2)
-    bands = Bands(9, 10)
+    bands = Bands(num, 10)
     for n in (1, 2, 9, 10, 13, 19, 30, 57, 111, 240, 700, 2500):
         for _ in range(12):
-            a = rng.integers(0, 2**64, n, np.uint64)
-            out = int(rng.integers(0, n // 9 + 1))
-            inn = int(rng.integers(0, n // 9 + 1))
-            b = np.concatenate([a[out:], rng.integers(0, 2**64, inn, np.uint64)])
-            shared = n - out
-            if 10 * shared >= 9 * (n + inn) and shared:
-                assert set(bands.signatures(np.sort(a)).tolist()) & set(bands.signatures(np.sort(b)).tolist())
+            a, b = similar(rng, n, num, 10)
+            assert set(bands.signatures(a).tolist()) & set(bands.signatures(b).tolist())
+            assert apart(sketch(a), sketch(b)) <= len(np.setxor1d(a, b))
+
+
+@pytest.mark.parametrize("num", [9, 8])
+def test_similar_pairs_meet_whatever_cells_are_common(num):
+    """Counts of cells are made up, as a hostile corpus would: most cells of a pair are held by many others."""
+    rng = np.random.default_rng(3)
+    bands = Bands(num, 10)
+    for n in (28, 40, 90, 250, 900):
+        for _ in range(15):
+            keys, spares = [], []
+            for items in similar(rng, n, num, 10):
+                keys.append(bands.sign(items))
+                spares.append(bands.spare(items))
+            counts = {k: int(rng.choice([2, 2, 50, 3000])) for k in np.concatenate(keys).tolist()}
+            found = []
+            for k, s in zip(keys, spares):
+                k = k[np.isin(k, keys[0]) & np.isin(k, keys[1]) | (rng.random(len(k)) < 0.5)]  # the others: shared with further sets, or with none
+                found.append(set(bands.subsets(np.zeros(len(k), np.int64), k, np.array([counts[x] for x in k.tolist()]), [s])[1].tolist()))
+            assert found[0] & found[1]
+
+
+def test_rows_that_share_a_doc_id_link_each_by_its_own_text(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(1, a), (1, b), (2, b + " tail"), (3, a + " tail"), (4, "else"), (None, a)]
+    got = sorted(((r.doc_id, r.component_id) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (None, None)], key=str)
 
 
 def test_shingle_counts_on_odd_texts():

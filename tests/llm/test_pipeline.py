@@ -86,3 +86,16 @@ def brute5(rows):
 def test_run(spark):
     out = pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.columns == ["doc_id", "n_pieces", "ids"] and out.count() > 100
+
+
+def test_stages_of_empty_tables_and_clashing_columns(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row_key string, row_number int, copies int, _copy string, size string, node int"
+    long = "the motion of and with " * 20_000
+    rows = [(1, "the motion of and with", "en", "a", 5, "x", 3, 9, "y", "z", 0), (1, "the motion of and with", "en", "a", 5, "x", 3, 9, "y", "z", 0), (2, long, "en", None, 5, None, None, None, None, None, None), (None, None, "en", None, None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in pipeline.STAGES[:-1]:
+        assert stage(spark, docs.limit(0), "").count() == 0, name
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns
+        assert {r.doc_id for r in out.collect()} == ({1, 2} if name == "mixture" else {1, 2, None}), name
+    assert pipeline.sentencepiece(spark, docs.limit(0), "").count() == 0
