@@ -25,8 +25,25 @@ LOW, HIGH = 55.0, 2200.0
 SPAN = 12
 PART = 64
 SPLIT = 16
-#: Filters as (kind, first class, classes, frames): 0 whole against nothing in log, 1 halves by class, 2 halves by time, 3 quarters, 4 and 5 thirds.
-FILTERS = [(k, c, h, w) for k, c, h, w in zip((1, 2, 3, 1, 2, 3, 4, 5, 1, 2, 3, 4, 5, 1, 2, 3), (0, 4, 2, 6, 8, 0, 3, 0, 2, 0, 6, 0, 6, 4, 1, 4), (6, 4, 6, 4, 3, 12, 9, 12, 8, 12, 4, 6, 6, 8, 6, 8), (3, 8, 10, 12, 12, 6, 4, 9, 6, 4, 8, 10, 12, 10, 12, 4), strict=True)]
+#: Filters as (kind, first class, classes, frames): 1 halves by class, 2 halves by time, 3 quarters, 4 and 5 thirds.
+FILTERS = [
+    (1, 0, 6, 3),
+    (2, 4, 4, 8),
+    (3, 2, 6, 10),
+    (1, 6, 4, 12),
+    (2, 8, 3, 12),
+    (3, 0, 12, 6),
+    (4, 3, 9, 4),
+    (5, 0, 12, 9),
+    (1, 2, 8, 6),
+    (2, 0, 12, 4),
+    (3, 6, 4, 8),
+    (4, 0, 6, 10),
+    (5, 6, 6, 12),
+    (1, 4, 8, 10),
+    (2, 1, 6, 12),
+    (3, 4, 8, 4),
+]
 CUTS = (-0.12, 0.0, 0.12)
 GRAY = np.array([0, 1, 3, 2], np.uint32)
 
