@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SOFT_HYPHEN, NBSP = chr(0xAD), chr(0xA0)
+#: Fixed value: lines that are headings.
 _SECTION = re.compile(r"(?:[A-Z][A-Z0-9 &/\-]{2,}|(?:\d{1,2}\.){1,4}\s+.*|[A-Z]\.\s+.*|Appendix\s+[A-Z0-9]+.*)")
 _BULLET = re.compile(r"\s*[-*•‣–]\s+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[A-Z0-9])")
@@ -52,11 +53,12 @@ def dehyphenate(c: Column) -> Column:
 
 
 def normalize_quotes(c: Column) -> Column:
-    return F.translate(c, "‘’‚“”„«»", "''’\"\"\"\"\"".replace("’", "'"))
+    return F.translate(c, "‘’‛“”„«»", "'''\"\"\"\"\"")
 
 
 def fix_bullets_and_dashes(c: Column) -> Column:
-    out = F.regexp_replace(c, r"(?m)^[ \t]*[•‣◦▪●·][ \t]*", "- ")
+    """Bullets become "- " wherever they stand, an en dash a hyphen, an em dash a hyphen between blanks."""
+    out = F.regexp_replace(c, "[•‣▪]", "- ")
     out = F.regexp_replace(F.replace(out, F.lit("–"), F.lit("-")), r"\s*—\s*", " - ")
     return F.regexp_replace(out, r" {2,}", " ")
 
@@ -71,12 +73,16 @@ def filter_lines(c: Column, drop: str | None = None, keep: str | None = None) ->
     return F.array_join(F.filter(F.split(c, "\n"), stays), "\n")
 
 
-def strip_page_artifacts(c: Column, header: str | None = None, footer: str | None = None) -> Column:
-    """Drop lines that are the header, the footer or a page number."""
+#: Fixed value: a line that is a page number.
+PAGE_HINT = r"^\s*Page\s+\d+(\s*/\s*\d+)?\s*$"
+
+
+def strip_page_artifacts(c: Column, header: str | None = None, footer: str | None = None, page_hint: str | None = PAGE_HINT) -> Column:
+    """Drop lines that are the header, the footer or, without blanks around them, match ``page_hint``."""
     exact = [F.lit(x.strip()) for x in (header, footer) if x]
 
     def stays(line: Column) -> Column:
-        gone = F.trim(line).rlike(r"^(?i:page)\s+\d+(\s*/\s*\d+|\s+of\s+\d+)?$")
+        gone = F.trim(line).rlike(page_hint) if page_hint else F.lit(False)
         for x in exact:
             gone = gone | (F.trim(line) == x)
         return ~gone
@@ -88,11 +94,11 @@ def ascii_safe(c: Column, keep: str = "\n\t£€$%") -> Column:
     return F.regexp_replace(c, r"[^\x20-\x7E" + re.escape(keep) + "]", " ")
 
 
-def normalize(c: Column, header: str | None = None, footer: str | None = None, safe: bool = False) -> Column:
+def normalize(c: Column, header: str | None = None, footer: str | None = None, safe: bool = False, page_hint: str | None = PAGE_HINT) -> Column:
     """The fixed pipeline; the order of its steps matters."""
     out = nfkc(c)
     out = collapse_blank_lines(out, 1)
-    out = strip_page_artifacts(out, header, footer)
+    out = strip_page_artifacts(out, header, footer, page_hint)
     out = dehyphenate(out)
     out = fix_bullets_and_dashes(normalize_quotes(out))
     out = collapse_blank_lines(collapse_inner_whitespace(trim_trailing_spaces(out)), 1)

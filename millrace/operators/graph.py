@@ -29,6 +29,7 @@ METRIC_PATTERNS = (
     (r"\bwaste\b", "Waste"),
     (r"\bLTIFR\b|\blost\s+time\s+injury\b", "LTIFR"),
 )
+#: Years, directions, net zero and baselines.
 YEAR = r"(20\d{2}|19\d{2})"
 DECREASE = r"(?i)\b(decrease|reduce|cut|lower|drop)\b"
 INCREASE = r"(?i)\b(increase|grow|rise|higher)\b"
@@ -114,6 +115,9 @@ def claims(chunks: DataFrame, patterns: Sequence[tuple[str, str]] = METRIC_PATTE
     keys = [c for c in ("tenant_id", "entity_key", "doc_id", "page", "chunk_id") if c in chunks.columns]
     s = F.col("text")
     out = chunks.select(*keys, F.posexplode(sentences(F.col("text"))).alias("sentence_no", "text"))
+    # One test of a sentence comes first; what it keeps is then taken apart.
+    some = "(?i)" + "|".join([r"\d\s*%", YEAR, *(p.removeprefix("(?i)") for p in (NET_ZERO, DECREASE, INCREASE)), *(p for p, _ in patterns)])
+    out = out.where(s.rlike(some))
     out = out.withColumns({"metric_key": metric_key(s, patterns), "target": target(s, percent_fix), "period": period(s), "baseline": baseline(s), "unit": unit(s), "direction": direction(s)})
     out = out.where("metric_key is not null or target is not null or period is not null")
     show_unit = F.col("unit").isNotNull() & (F.col("unit") != "%") & (F.col("target").isNull() | ~F.col("target").contains("%"))

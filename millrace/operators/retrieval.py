@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -41,15 +42,18 @@ def metadata_filter(df: DataFrame, where: dict[str, object], column: str = "meta
 def vector_topk(queries: DataFrame, index: DataFrame, k: int = 20, qid: str = "query_id", qvec: str = "query", key: str = "id", vec: str = "embedding", most: int = BROADCAST_ROWS) -> DataFrame:
     """(qid, key, score, distance, rank): the ``k`` nearest rows by cosine for each query; ties by key.
 
-    Queries are collected into one matrix, ``most`` rows at most (more are
-    refused: cut the query set in parts), and broadcast. Each task reduces
+    Queries are collected into matrices of about ``most`` rows, each broadcast
+    for a pass over the index. Each task reduces
     every Arrow batch to ``k`` rows a query by one matrix product, so what is
     shuffled is k rows a query and batch. Rows of another length or without a
     finite non-zero vector are left out.
     """
-    rows = queries.select(qid, qvec).limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} queries; run them in parts")
+    parts = -(-queries.count() // most)
+    if parts > 1:
+        part = F.pmod(F.xxhash64(qid), F.lit(parts).cast("long"))
+        blocks = [vector_topk(queries.where(part == b), index, k, qid, qvec, key, vec, 2 * most) for b in range(parts)]
+        return reduce(DataFrame.unionByName, blocks)
+    rows = queries.select(qid, qvec).collect()
     kept = [r for r in rows if r[1] and np.isfinite(np.array(r[1], float)).all() and np.any(np.array(r[1], float))]
     spark = index.sparkSession
     ids = [r[0] for r in kept]
@@ -106,7 +110,7 @@ def max_normalize(df: DataFrame, score: str = "score", by: Sequence[str] = ("que
 
 def terms(text: Column) -> Column:
     """Lower-case words of letters, digits, dots, percent signs and hyphens."""
-    return F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9.%\- ]", " "), r" +"), lambda t: t != "")
+    return F.array_remove(F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9.%\-]+", " ")), " "), "")
 
 
 def lexical_index(docs: DataFrame, key: str = "id", text: str = "text") -> dict[str, DataFrame]:

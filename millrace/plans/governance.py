@@ -69,11 +69,11 @@ def token_budget(spark, d):
 
 
 def audit_verify(spark, d):
-    """A chain built over 200 orders and verified; one entry is changed and one link cut."""
-    rows = read(spark, d, "orders").orderBy("o_orderkey").limit(200).collect()
-    log = G.append_events(spark, [{"ts": str(r.o_orderdate), "actor": str(r.o_custkey), "tenant_id": "t0", "action": "order", "details": str(r.o_totalprice)} for r in rows])
-    broken = log.withColumn("actor", F.when(F.col("seq") == 7, "other").otherwise(F.col("actor"))).where("seq <> 100")
-    return G.verify_chain(broken).select("seq", "sound", "linked")
+    """A chain of its orders for each customer, verified; in each one entry is changed and one is taken out."""
+    orders = read(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").alias("ts"), F.col("o_totalprice").cast("string").alias("actor"), F.col("o_custkey").alias("tenant_id"), F.lit("order").alias("action"), F.col("o_orderkey").cast("string").alias("details"))
+    log = G.append_chains(orders, "o_orderkey")
+    broken = log.withColumn("actor", F.when(F.col("seq") == 2, "other").otherwise(F.col("actor"))).where("seq <> 4")
+    return G.verify_chain(broken, "tenant_id").select("tenant_id", "seq", "sound", "linked")
 
 
 QUERIES = {
@@ -112,5 +112,5 @@ ORACLES = {
     "memory_keywords": r"with l as (select conv_id, turn, unnest(regexp_split_to_array(text, '[.?!]')) as line, generate_subscripts(regexp_split_to_array(text, '[.?!]'), 1) - 1 as pos from conversations), t as (select conv_id, turn, pos::int as pos, trim(line) as line from l) select conv_id, turn, pos, md5(line) as line_hash from t where regexp_matches(lower(line), '(^|[^a-z])(the|de|que)([^a-z]|$)') qualify row_number() over (partition by conv_id order by turn desc, pos) <= 5",
     "doc_memory_score": "with l as (select doc_id, max(quality) as quality from labels group by 1), s as (select doc_id, round(0.7 * quality + 0.3 * exp(-(doc_id % 90) / 30.0::double), 6) as score from documents join l using (doc_id)) select doc_id, score from s order by score desc, doc_id limit 50",
     "token_budget": "with t as (select conv_id, turn, greatest(1, length(text) // 4) as tokens from conversations) select conv_id, turn, (sum(tokens) over w)::bigint as used, sum(tokens) over w <= 500 as within from t window w as (partition by conv_id order by turn rows unbounded preceding)",
-    "audit_verify": "with o as (select row_number() over (order by o_orderkey) - 1 as seq from orders limit 200) select seq, seq <> 7 as sound, seq <> 101 as linked from o where seq < 200 and seq <> 100",
+    "audit_verify": "with o as (select o_custkey::varchar as tenant_id, row_number() over (partition by o_custkey order by o_orderkey) - 1 as seq from orders) select tenant_id, seq, seq <> 2 as sound, seq <> 5 as linked from o where seq <> 4",
 }

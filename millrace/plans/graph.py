@@ -1,7 +1,8 @@
 """Queries of the graph and reporting operators.
 
-The documents' prose is invented, so each source's texts are joined by a few
-literal sentences that hold claims.
+The documents' prose is invented and holds few claims, if any, so each text is
+followed by one of a few literal sentences that do. Texts are read whole, and
+the oracles take claims out of the same whole texts with patterns of their own.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from millrace.operators import graph as K
 from millrace.operators import reporting as P
 from millrace.plans.tabular import read
+from millrace.session import cut
 
 SENTENCES = (
     "Acme will reduce Scope 1 emissions by 30% by 2030 versus 2019.",
@@ -25,18 +27,18 @@ LITERAL = " ".join(SENTENCES)
 
 def _chunks(spark, d):
     docs = read(spark, d, "documents")
-    text = F.concat_ws(" ", F.get(F.array(*(F.lit(s) for s in SENTENCES)), (F.col("doc_id") % len(SENTENCES)).cast("int")), F.substring("text", 1, 0))
-    return docs.select(F.lit("t0").alias("tenant_id"), K.canonical_key("org", F.col("source")).alias("entity_key"), F.col("doc_id").cast("string").alias("doc_id"), F.lit(1).alias("page"), F.lit("c0").alias("chunk_id"), F.trim(text).alias("text"))
+    said = F.get(F.array(*(F.lit(s) for s in SENTENCES)), (F.col("doc_id") % len(SENTENCES)).cast("int"))
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit(" . "), said)
+    return docs.select(F.lit("t0").alias("tenant_id"), K.canonical_key("org", F.col("source")).alias("entity_key"), F.col("doc_id").cast("string").alias("doc_id"), F.lit(1).alias("page"), F.lit("c0").alias("chunk_id"), text.alias("text"))
 
 
 def _graph(spark, d):
-    """Nodes and edges; a query reads them several times, so they are kept as a stored graph would be."""
-    nodes, edges = K.build(K.claims(_chunks(spark, d)))
-    return nodes.persist(), edges.persist()
+    """Nodes and edges of the stored claims: texts are read once, however many parts of the graph follow."""
+    return K.build(cut(K.claims(_chunks(spark, d))))
 
 
 def _claims(spark, d):
-    return P.claim_table(*_graph(spark, d)).persist()
+    return P.claim_table(*_graph(spark, d))
 
 
 def kg_claims(spark, d):
@@ -127,24 +129,60 @@ QUERIES = {
     "resolve_entities": resolve_entities,
 }
 
-#: What each literal sentence says: number, metric, target, period, baseline, unit, confidence, normalized text, claim key after the entity, label.
-_SAID = (
-    (0, "metric:ghg scope 1", "decrease", "by 2030", "2019", "%", 0.95, "reduction value:decrease baseline_year:2019 period:by 2030", "acme will reduce scope 1 emissions by 30% by 2030 versus 2019."),
-    (1, None, None, "2024", None, None, 0.40, "period:2024", "revenues grew in 2024."),
-    (2, None, "net zero", None, None, None, 0.60, "net_zero value:net zero", "net zero ambition is reiterated."),
-    (4, "metric:ghg scope 2", None, "by 2030", None, "%", 0.80, "period:by 2030", "globex targets a 40% reduction in scope 2 emissions by 2030."),
-    (5, "metric:revenue", "increase", "2026", None, None, 0.95, "increase value:increase period:2026", "revenue will rise through 2026 where possible."),
-)
-
-
-def _lit(v) -> str:
-    return "null" if v is None else str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
 
-
-_VALUES = "said(k, metric_key, target, period, baseline, unit, confidence, normalized_text, body) as (values " + ", ".join("(" + ", ".join(map(_lit, row)) + ")" for row in _SAID) + ")"
-_BASE = f"with {_VALUES}, c as (select doc_id, 'org:' || source as entity, s.*, 'claim:org:' || source || '|' || body as claim_key, 'evidence:' || doc_id || '#p1:c0' as ev from documents join said s on doc_id % 6 = k)"
+def _sql(v: str) -> str:
+    return "'" + v.replace("'", "''") + "'"
+
+
+def _first_sql(pattern: str, group: int = 1) -> str:
+    return f"nullif(regexp_extract(body, {_sql(pattern)}, {group}), '')"
+
+
+_METRIC = "case " + " ".join(f"when regexp_matches(body, {_sql('(?i)' + p)}) then {_sql('metric:' + ' '.join(n.lower().split()))}" for p, n in K.METRIC_PATTERNS) + " end"
+_UNIT = "case " + " ".join(f"when regexp_matches(body, {_sql(p)}) then {_sql(n)}" for p, n in K.UNITS) + " end"
+_PERCENT = _first_sql(r"\b(\d{1,3}(?:\.\d+)?)\s*%\b")
+_BY = _first_sql(r"(?i)\bby\s+" + K.YEAR + r"\b")
+_ANY = _first_sql(r"\b" + K.YEAR + r"\b")
+_SPAN = r"(?i)\b" + K.YEAR + r"\s*(?:–|-|to|through|until)\s*" + K.YEAR + r"\b"
+#: Claims of whole texts, sentence by sentence: the common start of the oracles.
+_BASE = f"""with whole as (
+  select doc_id, 'org:' || lower(source) as entity, trim(regexp_replace(coalesce(text, '') || ' . ' || ([{", ".join(map(_sql, SENTENCES))}])[doc_id % {len(SENTENCES)} + 1], '\\s+', ' ', 'g')) as text from documents),
+sentences as (select doc_id, entity, unnest(string_split(regexp_replace(text, '([.!?]) ([A-Z0-9])', '\\1' || chr(10) || '\\2', 'g'), chr(10))) as body from whole),
+parsed as (
+  select *, {_METRIC} as metric_key,
+    case when {_PERCENT} is not null then {_PERCENT} || '%' when regexp_matches(body, {_sql(K.NET_ZERO)}) then 'net zero' when regexp_matches(body, {_sql(K.DECREASE)}) then 'decrease' when regexp_matches(body, {_sql(K.INCREASE)}) then 'increase' end as target,
+    case when regexp_matches(body, {_sql(_SPAN)}) then regexp_extract(body, {_sql(_SPAN)}, 1) || '–' || regexp_extract(body, {_sql(_SPAN)}, 2) when {_BY} is not null then 'by ' || {_BY} else {_ANY} end as period,
+    {_first_sql(K.BASELINE)} as baseline, {_UNIT} as unit,
+    case when regexp_matches(body, {_sql(K.DECREASE)}) then 'reduction' when regexp_matches(body, {_sql(K.INCREASE)}) then 'increase' when regexp_matches(body, {_sql(K.NET_ZERO)}) then 'net_zero' end as direction
+  from sentences),
+c as (
+  select doc_id, entity, metric_key, target, period, baseline, unit,
+    greatest(35, least(95, 40 + (metric_key is not null)::int * 30 + (target is not null)::int * 20 + (period is not null)::int * 10 - (length(body) < 24)::int * 10)) / 100.0::double as confidence,
+    coalesce(nullif(concat_ws(' ', direction, 'value:' || target, case when unit <> '%' and (target is null or not contains(target, '%')) then 'unit:' || unit end, 'baseline_year:' || baseline, 'period:' || period), ''), body) as normalized_text,
+    body as said, lower(body) as body, 'claim:' || entity || '|' || case when length(body) > 64 then lower(body)[:63] || '…' else lower(body) end as claim_key, 'evidence:' || doc_id || '#p1:c0' as ev
+  from parsed where metric_key is not null or target is not null or period is not null)"""
+
+_NODES = """, n as (
+  select distinct 'entity' as type, entity as key, entity as label from c
+  union select 'metric', metric_key, array_to_string(list_transform(string_split(metric_key[8:], ' '), lambda w: upper(w[1]) || w[2:]), ' ') from c where metric_key is not null
+  union select 'evidence', ev, ev from c
+  union select 'claim', claim_key, first(case when length(said) > 96 then said[:95] || '…' else said end order by doc_id::varchar) from c group by claim_key),
+e as (
+  select 'about' as type, claim_key as src, entity as dst from c union select 'supported_by', claim_key, ev from c
+  union select 'quantifies', claim_key, metric_key from c where metric_key is not null union select 'measured_by', entity, metric_key from c where metric_key is not null)"""
+
+_CARDS = (
+    _BASE
+    + """, m as (select entity, metric_key, bool_or(target is not null) as t, bool_or(period is not null) as p, bool_or(body not like '%where possible%') as s from c where metric_key is not null and confidence >= 0.5 group by all),
+w as (select *, case metric_key when 'metric:ghg scope 1' then 0.35 * t::int + 0.30 * p::int + 0.15 + 0.10 * s::int + 0.10 else 0.30 * t::int + 0.25 * p::int + 0.20 + 0.15 * s::int + 0.10 end as score from m),
+e as (select distinct entity from c),
+k as (select e.entity, coalesce(sum(0.5 * score) filter (metric_key = 'metric:revenue'), 0) as financial, coalesce(sum(case metric_key when 'metric:ghg scope 1' then 0.3 else 0.25 end * score) filter (metric_key <> 'metric:revenue'), 0) as nat, count(metric_key) as n from e left join w using (entity) group by 1)"""
+)
 
 ORACLES = {
+    "kg_validate": _BASE + _NODES + ", i as (select 'error' as severity, 'orphan_edge' as code from e where dst = 'metric:revenue' union all select 'warning', 'claim_low_confidence' from (select distinct claim_key from c where confidence < 0.5)) select severity, code, count(*) as n from i group by all",
+    "kg_graphml": _BASE + _NODES + " select 0::int as part, 1 as n union all select 1, count(*) from n union all select 2, count(*) from e union all select 3, 1",
+    "kg_nodes": _BASE + _NODES + " select 't0' as tenant_id, type, key, label from n",
     "kg_claims_literal": _BASE + " select metric_key, target, period, baseline, unit, confidence::double as confidence, normalized_text, count(*) as n from c group by all",
     "kg_edges": _BASE + " select 't0' as tenant_id, 'about' as type, claim_key as src_key, entity as dst_key from c union select 't0', 'supported_by', claim_key, ev from c union select 't0', 'quantifies', claim_key, metric_key from c where metric_key is not null union select 't0', 'measured_by', entity, metric_key from c where metric_key is not null",
     "kg_counts": _BASE + " select (select count(distinct entity) + count(distinct metric_key) + count(distinct claim_key) + count(distinct ev) from c) as node_count, (select count(*) from (select claim_key, entity from c union select claim_key, ev from c union select claim_key, metric_key from c where metric_key is not null union select entity, metric_key from c where metric_key is not null)) as edge_count",
@@ -152,10 +190,8 @@ ORACLES = {
     "kg_claims_with_evidence": _BASE + " select entity as entity_key, claim_key as key, count(distinct ev)::int as n_evidence from c group by 1, 2",
     "kg_upsert": _BASE + ", n as (select 'entity' as type, entity as key from c union select 'metric', metric_key from c where metric_key is not null union select 'claim', claim_key from c union select 'evidence', ev from c) select type, case type when 'entity' then 'updated' when 'metric' then 'created' else 'kept' end as change, count(*) as n from n group by all",
     "detectors": _BASE + ", k as (select distinct claim_key, metric_key, target, period, confidence, body from c), i as (select 'missing_target' as code, 'warning' as severity from k where target is null union all select 'missing_period', 'warning' from k where period is null union all select 'low_confidence', 'info' from k where confidence < 0.5 union all select 'vague_language', 'warning' from k where body like '%where possible%') select code, severity, count(*) as n from i group by all",
-    "scorecard": _BASE
-    + """, m as (select entity, metric_key, bool_or(target is not null) as t, bool_or(period is not null) as p, bool_or(body not like '%where possible%') as s from c where metric_key is not null and confidence >= 0.5 group by all),
-w as (select *, case metric_key when 'metric:ghg scope 1' then 0.35 * t::int + 0.30 * p::int + 0.15 + 0.10 * s::int + 0.10 else 0.30 * t::int + 0.25 * p::int + 0.20 + 0.15 * s::int + 0.10 end as score from m),
-e as (select distinct entity from c),
-k as (select e.entity, coalesce(sum(0.5 * score) filter (metric_key = 'metric:revenue'), 0) as financial, coalesce(sum(case metric_key when 'metric:ghg scope 1' then 0.3 else 0.25 end * score) filter (metric_key <> 'metric:revenue'), 0) as nat, count(metric_key) as n from e left join w using (entity) group by 1)
-select entity, round(financial::double, 6) as financial, 0.0::double as manufactured, 0.0::double as intellectual, 0.0::double as human, 0.0::double as social_relationship, round(nat::double, 6) as "natural", round((0.15 * financial + 0.4 * nat)::double, 6) as overall, round(n / 12.0::double, 6) as coverage from k""",
+    "scorecard": _CARDS
+    + """ select entity, round(financial::double, 6) as financial, 0.0::double as manufactured, 0.0::double as intellectual, 0.0::double as human, 0.0::double as social_relationship, round(nat::double, 6) as "natural", round((0.15 * financial + 0.4 * nat)::double, 6) as overall, round(n / 12.0::double, 6) as coverage from k""",
+    "benchmark": _CARDS
+    + " select entity, round((0.15 * financial + 0.4 * nat)::double, 6) as overall, rank() over (order by round((0.15 * financial + 0.4 * nat)::double, 9) desc)::int as rank, rank() over (order by round(nat::double, 9) desc)::int as rank_natural, rank() over (order by round(financial::double, 9) desc)::int as rank_financial from k",
 }

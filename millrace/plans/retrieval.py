@@ -1,4 +1,4 @@
-"""Queries of the retrieval operators."""
+"""Queries of the retrieval operators: every row whose id is divisible by 20 asks, all rows answer."""
 
 from __future__ import annotations
 
@@ -14,11 +14,11 @@ def _vectors(spark, d):
 
 
 def _vector_queries(spark, d):
-    return _vectors(spark, d).where("id < 40").select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
+    return _vectors(spark, d).where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
 
 
 def _text_queries(spark, d):
-    return read(spark, d, "benchmark").where("item_id < 40").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return read(spark, d, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def _docs(spark, d):
@@ -102,7 +102,7 @@ COS = "list_dot_product({a}::double[], {b}::double[]) / (sqrt(list_dot_product({
 HITS = """
 hits as (
   select q.vec_id as query_id, v.vec_id as id, """ + COS.format(a="q.embedding", b="v.embedding") + """ as score
-  from embeddings q join embeddings v on true where q.vec_id < 40 {where} qualify row_number() over (partition by q.vec_id order by score desc, v.vec_id) <= {k}),
+  from embeddings q join embeddings v on true where q.vec_id % 20 = 0 {where} qualify row_number() over (partition by q.vec_id order by score desc, v.vec_id) <= {k}),
 ranked as (select *, 1 - score as distance, (row_number() over (partition by query_id order by score desc, id))::int as rank from hits)
 """
 WORDS = "list_filter(regexp_split_to_array(regexp_replace(lower(coalesce({t}, '')), '[^a-z0-9.%\\- ]', ' ', 'g'), ' +'), lambda x: x <> '')"
@@ -111,7 +111,7 @@ LEXICAL = (
     "st as (select count(*) as n, avg(len(ts)) as avgdl from d), "
     "tf as (select id, dl, term, count(*) as tf from (select id, len(ts) as dl, unnest(ts) as term from d) group by all), "
     "dfq as (select term, count(*) as df from tf group by 1), "
-    "q as (select item_id as query_id, unnest(list_distinct(" + WORDS.format(t="text") + ")) as term from benchmark where item_id < 40), "
+    "q as (select item_id as query_id, unnest(list_distinct(" + WORDS.format(t="text") + ")) as term from benchmark where item_id % 20 = 0), "
     "lex as (select query_id, id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) as score from q join tf using (term) join dfq using (term), st group by 1, 2), "
     "lexr as (select *, (row_number() over (partition by query_id order by round(score, 9) desc, id))::int as rank from lex qualify rank <= 20)"
 )
@@ -141,7 +141,7 @@ ORACLES = {
     "minmax_norm": "with" + HITS.format(where="", k=10) + "select query_id, id, round((score - min(score) over w) / (max(score) over w - min(score) over w), 6) as normalized from ranked window w as (partition by query_id)",
     "dist_to_sim": "with" + HITS.format(where="", k=10) + "select query_id, id, round(1 - (distance - min(distance) over w) / (max(distance) over w - min(distance) over w), 6) as similarity from ranked window w as (partition by query_id)",
     "bm25_topk": "with " + LEXICAL + " select query_id, id, round(score, 6) as score, rank from lexr",
-    "token_overlap": "with q as (select item_id as query_id, list_distinct(" + WORDS.format(t="text") + ") as qt from benchmark where item_id < 40), d as (select doc_id as id, list_distinct(" + WORDS.format(t="text") + ") as dt from documents), s as (select query_id, id, len(list_intersect(qt, dt)) / (len(qt) + len(dt) - len(list_intersect(qt, dt)))::double as score from q, d where len(list_intersect(qt, dt)) > 0) select query_id, id, round(score, 6) as score, (row_number() over (partition by query_id order by score desc, id))::int as rank from s qualify rank <= 10",
+    "token_overlap": "with q as (select item_id as query_id, list_distinct(" + WORDS.format(t="text") + ") as qt from benchmark where item_id % 20 = 0), d as (select doc_id as id, list_distinct(" + WORDS.format(t="text") + ") as dt from documents), s as (select query_id, id, len(list_intersect(qt, dt)) / (len(qt) + len(dt) - len(list_intersect(qt, dt)))::double as score from q, d where len(list_intersect(qt, dt)) > 0) select query_id, id, round(score, 6) as score, (row_number() over (partition by query_id order by score desc, id))::int as rank from s qualify rank <= 10",
     "hybrid_fusion": "with" + HITS.format(where="", k=20) + ", " + LEXICAL + """,
 v as (select query_id, id, 1 - (distance - min(distance) over w) / (max(distance) over w - min(distance) over w) as vector from ranked window w as (partition by query_id)),
 b as (select query_id, id, score / max(score) over (partition by query_id) as bm25 from lexr),
@@ -151,7 +151,7 @@ select query_id, id, round(vector, 6) as vector, round(bm25, 6) as bm25, round(s
 from f qualify rank <= 20""",
     "index_upsert": "select 'c' as collection, vec_id as id, case when vec_id % 3 = 0 then 99 else label end::int as label from embeddings where vec_id % 2 = 0 or vec_id % 3 = 0",
     "parity_probe": "with" + HITS.format(where="", k=10) + """, h2 as (select q.vec_id as query_id, v.vec_id as id, """ + COS.format(a="q.embedding", b="v.embedding") + """ as score
-  from embeddings q join embeddings v on true where q.vec_id < 40 and v.label < 5 qualify row_number() over (partition by q.vec_id order by score desc, v.vec_id) <= 10),
+  from embeddings q join embeddings v on true where q.vec_id % 20 = 0 and v.label < 5 qualify row_number() over (partition by q.vec_id order by score desc, v.vec_id) <= 10),
 a as (select query_id, list(id) as l from hits group by 1), b as (select query_id, list(id) as r from h2 group by 1)
 select round(avg(len(list_intersect(l, r)) / len(list_distinct(list_concat(l, r)))::double), 6) as overlap, count(*) as queries from a join b using (query_id)""",
 }

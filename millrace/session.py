@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "millrace", master: str | None = None, **conf: str) -> SparkSession:
@@ -22,3 +24,19 @@ def session(app: str = "millrace", master: str | None = None, **conf: str) -> Sp
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in ``spark.checkpoint.dir``: several readers then share one computation, and lineage ends.
+
+    Where the setting is absent, a local session gets a temporary folder; a cluster has no such folder, so this raises.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = "file://" + tempfile.mkdtemp(prefix="millrace-")
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
