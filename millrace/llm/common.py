@@ -58,22 +58,20 @@ def settle(df: DataFrame, what: str) -> DataFrame:
 
 
 class Scratch:
-    """Settled tables that go when their last reader has written what it made of them.
+    """Settled tables that go when they are no longer read.
 
-    ``keep`` settles a table, ``drop`` empties its files (an overwrite by a
-    table without rows), and leaving the ``with`` block empties all that are
-    still there but those handed to ``leave``, which the result reads.
+    ``keep`` settles a table, ``drop`` empties the files of one (an overwrite by
+    a table without rows), and leaving the ``with`` block empties the folder of
+    all but those that were kept with ``stays``, which a result reads.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.folder = f"{shared_dir(spark)}/millrace/{uuid.uuid4().hex}"
         self.paths: dict[int, tuple[DataFrame, str]] = {}
-        self.count = 0
 
-    def keep(self, df: DataFrame, what: str) -> DataFrame:
-        self.count += 1
-        path = f"{self.folder}/{self.count:02d}-{what}"
+    def keep(self, df: DataFrame, what: str, stays: bool = False) -> DataFrame:
+        path = f"{self.folder}{'-result' if stays else ''}/{what}-{len(self.paths)}"
         _write(df, path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (out, path)
@@ -81,19 +79,13 @@ class Scratch:
 
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
-            _, path = self.paths.pop(id(df), (None, None))
-            if path:
-                self.spark.range(0).write.mode("overwrite").parquet(path)
-
-    def leave(self, *frames: DataFrame) -> None:
-        for df in frames:
-            self.paths.pop(id(df), None)
+            self.spark.range(0).write.mode("overwrite").parquet(self.paths[id(df)][1])
 
     def __enter__(self) -> Scratch:
         return self
 
     def __exit__(self, *_) -> None:
-        self.drop(*[df for df, _ in self.paths.values()])
+        self.spark.range(0).write.mode("overwrite").parquet(self.folder)
 
 
 def join_split(big: DataFrame, small: DataFrame, key: str, size: str, total: int, share: int = 2000) -> DataFrame:
@@ -230,19 +222,15 @@ def components(scratch: Scratch, edges: DataFrame, a: str = "a", b: str = "b", m
     e = scratch.keep(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
     for _ in range(most):
         small = e.join(least(e), "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v")
-        small = scratch.keep(small.distinct(), "edges")
+        small = small.distinct()
         low = least(small)
         held = small.join(low, "u").withColumn("several", F.col("m") != F.col("v")).drop("m")
         moved = held.join(low.withColumnRenamed("u", "w"), F.col("v") == F.col("w"), "left")
         # an end that is no star's middle yet is moved on; one that is the least of its own neighbours stays
         moved = moved.select("u", F.coalesce("m", "v").alias("v"), (F.col("several") | F.col("m").isNotNull()).alias("open"))
-        after = scratch.keep(moved.groupBy("u", "v").agg(F.bool_or("open").alias("open")), "edges")
-        scratch.drop(e, small)
-        e = after
+        e = scratch.keep(moved.groupBy("u", "v").agg(F.bool_or("open").alias("open")), "edges")
         if not e.where("open").limit(1).count():
             break
     else:
         raise RuntimeError("components did not settle")
-    out = scratch.keep(e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()), "groups")
-    scratch.drop(e)
-    return out
+    return scratch.keep(e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()), "groups")

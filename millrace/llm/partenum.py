@@ -333,7 +333,7 @@ def jaccard_components(docs: DataFrame, num: int = 9, den: int = 10, width: int
     signed = texts.where("doc_id is not null and text is not null")
     bands = Bands(num, den)
     with Scratch(spark) as scratch:
-        known = written = scratch.keep(texts.mapInArrow(*_describe(bands, width, kind)), "sets")
+        known = scratch.keep(texts.mapInArrow(*_describe(bands, width, kind)), "sets", stays=True)
         # Two sets with one key (of 64 bits; about one in 10^10 sets): all but the first are keyed by their second hash.
         sound = known.where("n_shingles > 0 and doc_id is not null")
         same = sound.groupBy("node").agg(F.min("h2").alias("h2"), F.max("h2").alias("hi")).where("h2 < hi").select("node", F.col("h2").alias("first"))
@@ -396,10 +396,8 @@ def jaccard_components(docs: DataFrame, num: int = 9, den: int = 10, width: int
         found = scratch.keep(near(stars), "pairs")
         loose = components(scratch, found)
         pairs = scratch.keep(found.unionByName(near(across(loose))).distinct(), "pairs")
-        scratch.drop(found, loose)
 
         # Texts are compared for one pair of each node first; of the other pairs, only those count that these links leave apart.
-        loose = components(scratch, pairs)
         source = texts_of(pairs)
         tree = scratch.keep(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "tree")
         links = verified(tree, source)
@@ -410,21 +408,18 @@ def jaccard_components(docs: DataFrame, num: int = 9, den: int = 10, width: int
             more = verified(rest, source)
             failed |= more.count() < rest.count()
             links = scratch.keep(links.unionByName(more), "links")
-            scratch.drop(groups)
             groups = components(scratch, links)
         if failed:  # a bound let a pair through that held others back: look again between the groups that remain of its component
-            rest = scratch.keep(near(across(groups, loose)).join(pairs, ["a", "b"], "left_anti"), "pairs")
+            rest = scratch.keep(near(across(groups, components(scratch, pairs))).join(pairs, ["a", "b"], "left_anti"), "pairs")
             if not rest.isEmpty():
                 last = links.unionByName(verified(rest, source))  # their nodes are all in ``pairs``
-                scratch.drop(groups)
                 groups = components(scratch, last)
 
         # The least doc_id of each component, by node; then the nodes' rows, hot ones apart.
         least = facts.select("node", "least", "size").join(groups.withColumnRenamed("id", "node"), "node", "left").withColumn("group", F.coalesce("component", "node"))
         whole = least.groupBy("group").agg(F.min("least").alias("component_id"), F.count("*").alias("nodes"))
         named = join_split(least.select("node", "size", "group"), whole, "group", "nodes", facts.count())
-        named = scratch.keep(named.select("node", "size", "component_id"), "named")
-        scratch.leave(written, named)
+        named = scratch.keep(named.select("node", "size", "component_id"), "named", stays=True)
         rows = known.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("node")).alias("node"))
         done = join_split(rows.where("node is not null"), named, "node", "size", known.count())
         lone = rows.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

@@ -216,13 +216,12 @@ def near_duplicates(rows: DataFrame, least: float = 0.95, pivots: int | None = N
     plain = plain.withColumn("sound", F.coalesce(F.expr(sound), F.lit(False)))
     plain = plain.withColumn("same", F.when(F.col("sound"), F.md5(F.array_join(F.transform("embedding", lambda x: F.when(x == 0, F.lit("0")).otherwise(x.cast("string"))), ","))))
     with Scratch(spark) as scratch:
-        marked = scratch.keep(plain, "vectors")
+        marked = scratch.keep(plain, "vectors", stays=True)
         # A node is a distinct vector, whatever rows hold it; it is numbered where it is written.
         each = marked.where("sound").groupBy("same").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
         nodes = scratch.keep(each.withColumn("node", F.monotonically_increasing_id()), "nodes")
         common = nodes.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
         if common is None:
-            scratch.leave(marked)
             return marked.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.expr("vec_id = vec_id").alias("kept"))
         total = nodes.count()
         sample = nodes.where(F.size("embedding") == common.n).orderBy(F.xxhash64(F.lit(seed), "same"), "same").limit(SAMPLE).select("embedding").toArrow()
@@ -244,8 +243,7 @@ def near_duplicates(rows: DataFrame, least: float = 0.95, pivots: int | None = N
         comp = components(scratch, found.where("low < node").select(F.col("low").alias("a"), F.col("node").alias("b"))).withColumnRenamed("id", "node")
         every = nodes.select("node", "same", "least", "copies").join(counts, "node", "left").join(comp, "node", "left").withColumn("group", F.coalesce("component", "node"))
         lowest = every.groupBy("group").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
-        named = scratch.keep(join_split(every.select("same", "copies", "links", "group"), lowest, "group", "members", total).select("same", "copies", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "named")
-        scratch.leave(marked, named)
+        named = scratch.keep(join_split(every.select("same", "copies", "links", "group"), lowest, "group", "members", total).select("same", "copies", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "named", stays=True)
         done = join_split(marked.where("sound").select("vec_id", "same"), named, "same", "copies", marked.count())
         done = done.select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
         lone = marked.where("not sound").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.expr("vec_id = vec_id").alias("kept"))
