@@ -59,6 +59,8 @@ CELLS = 1.6
 GROUP = 8
 SEEN = 200_000
 ORDERS = 8
+LEAST_BITS = 512
+PARITY = [f"p{j}" for j in range(LEAST_BITS // 64)]
 
 
 class Bands:
@@ -184,12 +186,17 @@ class Bands:
 
 
 def sketch(items: np.ndarray) -> bytes:
-    """One to two parity bits an element, a power of two of them; halves of a longer sketch fold onto a shorter one."""
-    bits = max(64, 2 << (len(items).bit_length() - 1))
+    """One to two parity bits an element and ``LEAST_BITS`` at least, a power of two; halves of a longer sketch fold onto a shorter one."""
+    bits = max(LEAST_BITS, 2 << (len(items).bit_length() - 1))
     odd = np.bincount((items >> U64(7)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
+def fold(x: bytes) -> list[int]:
+    """A sketch folded to ``LEAST_BITS``, as whole numbers of 64 bits."""
+    return np.bitwise_xor.reduce(np.frombuffer(x, np.int64).reshape(-1, LEAST_BITS // 64), axis=0).tolist()
+
+
 def apart(x: bytes, y: bytes) -> int:
     """The bits in which two sketches differ: at most the elements in which their sets do."""
     if len(x) < len(y):
@@ -234,13 +241,14 @@ def _describe(bands: Bands, width: int, kind: str):
             drawn, spare = [None] * len(sets), [None] * len(sets)
             for i in fresh:
                 drawn[i], spare[i] = sketch(sets[i]), bands.spare(sets[i])
+            folded = list(zip(*(fold(x) if x else [None] * len(PARITY) for x in drawn), strict=True)) or [[]] * len(PARITY)
             size = pa.array([len(x) for x in sets], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), size, pa.array(node), pa.array(h2), pa.array(drawn, pa.binary()), pa.array(spare, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "node", "h2", "sketch", "spare"],
+                [batch.column("doc_id"), size, pa.array(node), pa.array(h2), pa.array(drawn, pa.binary()), pa.array(spare, pa.list_(pa.int64())), *(pa.array(p, pa.int64()) for p in folded)],
+                names=["doc_id", "n_shingles", "node", "h2", "sketch", "spare", *PARITY],
             )
 
-    return run, f"doc_id {kind}, n_shingles long, node long, h2 long, sketch binary, spare array<long>"
+    return run, f"doc_id {kind}, n_shingles long, node long, h2 long, sketch binary, spare array<long>, " + ", ".join(f"{p} long" for p in PARITY)
 
 
 def _cells(bands: Bands, width: int, strangers: frozenset):
@@ -337,13 +345,15 @@ def jaccard_components(docs: DataFrame, num: int = 9, den: int = 10, width: int
         # Two sets with one key (of 64 bits; about one in 10^10 sets): all but the first are keyed by their second hash.
         sound = known.where("n_shingles > 0 and doc_id is not null")
         same = sound.groupBy("node").agg(F.min("h2").alias("h2"), F.max("h2").alias("hi")).where("h2 < hi").select("node", F.col("h2").alias("first"))
-        odd = sound.join(same, "node").where("h2 <> first").select("node", "h2").distinct().collect()
+        first = {r.node: r.first for r in same.collect()}
+        odd = sound.where(F.col("node").isin(list(first))).select("node", "h2").distinct().collect() if first else []
+        odd = [r for r in odd if r.h2 != first[r.node]]
         strangers = frozenset((r.node, r.h2) for r in odd)
         if strangers:
             moved = F.when(F.struct("node", "h2").isin([F.struct(F.lit(a), F.lit(b)) for a, b in strangers]), F.col("h2")).otherwise(F.col("node"))
             known = known.withColumn("node", moved)
             sound = known.where("n_shingles > 0 and doc_id is not null")
-        facts = scratch.keep(sound.groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("sketch", True).alias("sketch"), F.first("spare", True).alias("spare"), F.min("doc_id").alias("least"), F.count("*").alias("size")), "facts")
+        facts = scratch.keep(sound.groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("sketch", True).alias("sketch"), F.first("spare", True).alias("spare"), F.min("doc_id").alias("least"), F.count("*").alias("size"), *(F.first(p, True).alias(p) for p in PARITY)), "facts")
 
         # Keys that several sets have, with how many; a key streams through a spillable sort.
         by_key = Window.partitionBy("key")
@@ -363,15 +373,21 @@ def jaccard_components(docs: DataFrame, num: int = 9, den: int = 10, width: int
             return left.join(ends.toDF("b", "nb", "sb"), "b").where(f"{den} * least(na, nb) >= {num} * greatest(na, nb)").mapInArrow(*_near(num, den))
 
         def across(comp: DataFrame, inside: DataFrame | None = None) -> DataFrame:
-            """Pairs of a bucket of fitting sizes that ``comp`` has apart (and ``inside`` together); buckets of one component are left out first."""
+            """Pairs of a bucket that ``comp`` has apart (and ``inside`` together); buckets of one component are left out first.
+
+            Sizes and folded sketches are compared where the pair meets, so a
+            pair that they tell apart is no row.
+            """
             rows = bucket.select("sig", F.col("node").alias("id"), "n").join(comp, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
             if inside is not None:
                 rows = rows.join(inside.withColumnRenamed("component", "w"), "id")
             by = ["sig"] + (["w"] if inside is not None else [])
             mixed = Window.partitionBy(*by)
             rows = rows.withColumn("lo", F.min("c").over(mixed)).withColumn("hi", F.max("c").over(mixed)).where("lo < hi").select(*by, "id", "c", "n")
-            x, y = rows.toDF(*by, "a", "x_c", "x_n"), rows.toDF(*by, "b", "y_c", "y_n")
-            fits = f"a < b and x_c <> y_c and {den} * least(x_n, y_n) >= {num} * greatest(x_n, y_n)"
+            rows = rows.join(facts.select(F.col("node").alias("id"), *PARITY), "id").select(*by, "id", "c", "n", *PARITY)
+            x, y = (rows.toDF(*by, end, *(f"{side}_{c}" for c in ("c", "n", *PARITY))) for end, side in (("a", "x"), ("b", "y")))
+            odd = " + ".join(f"bit_count(x_{p} ^ y_{p})" for p in PARITY)
+            fits = f"a < b and x_c <> y_c and {den} * least(x_n, y_n) >= {num} * greatest(x_n, y_n) and {num + den} * ({odd}) <= {den - num} * (x_n + y_n)"
             return x.join(y, by).where(fits).select("a", "b").distinct()
 
         def verified(pairs: DataFrame, source: DataFrame) -> DataFrame:
