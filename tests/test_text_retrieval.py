@@ -14,7 +14,10 @@ def one(spark, expr, value):
 def test_normalisation(spark):
     assert "Gross margin improved" in one(spark, X.normalize, "Gross mar-\ngin improved")
     assert one(spark, X.normalize, "Operating    cash-flow") == "Operating cash-flow"
-    assert one(spark, X.normalize, "Page 3 / 9\nbody\npage 4\n\n\n\nend") == "body\n\nend"
+    assert one(spark, X.normalize, "Page 3 / 9\nbody\npage 4\n\n\n\nend") == "body\npage 4\n\nend"
+    assert one(spark, lambda c: X.normalize(c, page_hint=r"(?i)^page\s+\d+$"), "Page 3 / 9\nbody\npage 4\n\n\n\nend") == "Page 3 / 9\nbody\n\nend"
+    assert one(spark, X.normalize_quotes, "‛a‛ ‚b") == "'a' ‚b"
+    assert one(spark, X.fix_bullets_and_dashes, "a ▪ b ● c") == "a - b ● c"
     assert one(spark, X.normalize_quotes, "‘a’ “b” «c»") == "'a' \"b\" \"c\""
     assert one(spark, X.fix_bullets_and_dashes, "• one\n2–3 a—b") == "- one\n2-3 a - b"
     assert one(spark, X.ascii_safe, "£5 é ok") == "£5   ok"
