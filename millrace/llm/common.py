@@ -15,20 +15,26 @@ U64 = np.uint64
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor shares: ``spark.checkpoint.dir``.
 
-    Where it is unset, a local session gets a temporary folder of its own; on a
-    cluster such a folder is no shared one, so this raises.
+    Where it is unset, a local application gets a temporary folder of its own
+    (the setting cannot change once a session runs); on a cluster such a folder
+    is no shared one, so this raises.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        master = spark.conf.get("spark.master", "")
-        if not (master == "local" or master.startswith("local[")):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    master = spark.conf.get("spark.master", "")
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = spark.conf.get("spark.app.id", "")
+    if app not in _OWN:
+        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="millrace-")
+    return _OWN[app]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
