@@ -224,6 +224,31 @@ def mmr(hits: DataFrame, k: int = 8, lam: float = 0.5, qid: str = "query_id", ke
     return hits.select(qid, key, "rank", qvec, vec).groupBy(qid).applyInPandas(run, f"{qid} {qtype}, {key} {ktype}, mmr_rank int")
 
 
+def hybrid_search(queries: DataFrame, docs: DataFrame, k: int = 8, alpha: float = 0.6, pool: int = 20, lam: float = 0.5, diverse: bool = True, scorer: Callable[[Column, Column], Column] | None = None, where: dict[str, object] | None = None) -> DataFrame:
+    """(query_id, id, vector, bm25, score, rank): ``k`` documents for each query, ranks from 0.
+
+    ``queries(query_id, query, query_vector)`` and ``docs(id, text, embedding)``:
+    the ``pool`` best by vector and by BM25, fused, scored anew and thinned by
+    marginal relevance. ``where`` filters documents before either search. A
+    document without a vector can be found by its words and is thinned as a
+    zero vector; blank queries give no rows, missing vectors no vector hits.
+    Scores lie between 0 and 1.
+    """
+    docs = metadata_filter(docs, where or {})
+    asked = queries.where(F.trim(F.coalesce("query", F.lit(""))) != "")
+    near = vector_topk(asked.select("query_id", F.col("query_vector").alias("query")), docs, pool)
+    fused = fuse(near, bm25(asked.select("query_id", "query"), docs, pool), alpha, max(k, pool))
+    hits = fused.select("query_id", "id", "vector", "bm25", "rank").join(docs.select("id", "text", "embedding"), "id").join(asked, "query_id")
+    rows = rerank(hits, scorer, max(k, pool)).withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "score")))
+    if not diverse:
+        return rows.where(F.col("rank") <= k).select("query_id", "id", "vector", "bm25", "score", (F.col("rank") - 1).alias("rank"))
+    some = F.greatest(F.size("embedding"), F.size("query_vector"))
+    zero = F.array_repeat(F.lit(0.0), some)
+    vectors = rows.withColumns({c: F.coalesce(F.col(c).cast("array<double>"), zero) for c in ("embedding", "query_vector")})
+    chosen = mmr(vectors, k, lam, qvec="query_vector")
+    return rows.drop("rank").join(chosen, ["query_id", "id"]).select("query_id", "id", "vector", "bm25", "score", (F.col("mmr_rank") - 1).alias("rank"))
+
+
 def hash_embedding(text: Column, dim: int = 64) -> Column:
     """A term-count vector by hashing, scaled to length one: the offline stand-in for a model."""
     cells = F.transform(terms(text), lambda t: F.pmod(F.xxhash64(t), F.lit(dim)).cast("int"))

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import governance, graph, retrieval, streams, tabular, text
+from millrace.plans import governance, graph, memory, retrieval, streams, tabular, text
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (tabular, text, retrieval, graph, governance, streams)
+MODULES = (tabular, text, retrieval, graph, governance, memory, streams)
 
 
 def queries() -> dict[str, Query]:

@@ -55,6 +55,22 @@ def hybrid_fusion(spark, d):
     return R.fuse(v, b, 0.6, 20).select("query_id", "id", *(F.round(c, 6).alias(c) for c in ("vector", "bm25", "score")), "rank", R.method_of(F.col("vector"), F.col("bm25")).alias("method"))
 
 
+def _search(spark, d, diverse):
+    """Benchmark passages ask with the vector of their id; documents have the vector of theirs."""
+    vectors = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    asked = _text_queries(spark, d).join(vectors.select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vector")), "query_id", "left")
+    docs = _docs(spark, d).join(vectors, "id", "left")
+    return R.hybrid_search(asked, docs, diverse=diverse).select("query_id", "id", *(F.round(c, 6).alias(c) for c in ("vector", "bm25", "score")), "rank")
+
+
+def hybrid_search(spark, d):
+    return _search(spark, d, True)
+
+
+def hybrid_search_plain(spark, d):
+    return _search(spark, d, False)
+
+
 def mmr(spark, d):
     q = _vector_queries(spark, d)
     hits = R.vector_topk(q, _vectors(spark, d), 20).join(_vectors(spark, d).select("id", "embedding"), "id").join(q, "query_id")
@@ -124,6 +140,8 @@ QUERIES = {
     "bm25_topk": bm25_topk,
     "token_overlap": token_overlap,
     "hybrid_fusion": hybrid_fusion,
+    "hybrid_search": hybrid_search,
+    "hybrid_search_plain": hybrid_search_plain,
     "mmr": mmr,
     "rerank": rerank,
     "parity_probe": parity_probe,
@@ -149,6 +167,17 @@ f as (select query_id, id, coalesce(vector, 0) as vector, coalesce(bm25, 0) as b
 select query_id, id, round(vector, 6) as vector, round(bm25, 6) as bm25, round(score, 6) as score, (row_number() over (partition by query_id order by round(score, 9) desc, id))::int as rank,
   case when vector > 0 and bm25 > 0 then 'hybrid' when bm25 > 0 then 'bm25' else 'vector' end as method
 from f qualify rank <= 20""",
+    "hybrid_search_plain": "with " + LEXICAL + """,
+qv as (select b.item_id as query_id, e.embedding from benchmark b join embeddings e on e.vec_id = b.item_id where b.item_id % 20 = 0),
+dv as (select d.doc_id as id, e.embedding from documents d join embeddings e on e.vec_id = d.doc_id),
+hits as (select query_id, id, """ + COS.format(a="qv.embedding", b="dv.embedding") + """ as sim from qv, dv qualify row_number() over (partition by query_id order by sim desc, id) <= 20),
+v as (select query_id, id, 1 - ((1 - sim) - min(1 - sim) over w) / (max(1 - sim) over w - min(1 - sim) over w) as vector from hits window w as (partition by query_id)),
+b as (select query_id, id, score / max(score) over (partition by query_id) as bm25 from lexr),
+f as (select query_id, id, coalesce(vector, 0) as vector, coalesce(bm25, 0) as bm25, row_number() over (partition by query_id order by round(0.6::double * coalesce(vector, 0) + 0.4::double * coalesce(bm25, 0), 9) desc, id) as place from v full outer join b using (query_id, id) qualify place <= 20),
+t as (select f.*, list_distinct(""" + WORDS.format(t="q.text") + """) as qt, list_distinct(""" + WORDS.format(t="d.text") + """) as dt from f join documents d on d.doc_id = f.id join benchmark q on q.item_id = f.query_id),
+j as (select *, len(list_intersect(qt, dt)) / (len(qt) + len(dt) - len(list_intersect(qt, dt)))::double as likeness from t),
+s as (select *, case when max(likeness) over w > 0 then likeness / max(likeness) over w else 0 end as score from j window w as (partition by query_id))
+select query_id, id, round(vector, 6) as vector, round(bm25, 6) as bm25, round(score, 6) as score, (row_number() over (partition by query_id order by score desc, place) - 1)::int as rank from s qualify rank < 8""",
     "index_upsert": "select 'c' as collection, vec_id as id, case when vec_id % 3 = 0 then 99 else label end::int as label from embeddings where vec_id % 2 = 0 or vec_id % 3 = 0",
     "parity_probe": "with" + HITS.format(where="", k=10) + """, h2 as (select q.vec_id as query_id, v.vec_id as id, """ + COS.format(a="q.embedding", b="v.embedding") + """ as score
   from embeddings q join embeddings v on true where q.vec_id % 20 = 0 and v.label < 5 qualify row_number() over (partition by q.vec_id order by score desc, v.vec_id) <= 10),

@@ -9,7 +9,7 @@ from millrace.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SOME = ("top_n_grouped", "pivot_count", "profile_columns", "ratios_row", "timeseries_ops", "chunk_dedupe", "vec_topk", "hybrid_fusion", "kg_edges", "scorecard", "firewall_scan", "session")
+SOME = ("top_n_grouped", "pivot_count", "profile_columns", "ratios_row", "timeseries_ops", "chunk_dedupe", "vec_topk", "hybrid_fusion", "kg_edges", "scorecard", "firewall_scan", "session", "hybrid_search_plain", "memory_add", "memory_recall", "memory_living", "memory_evict", "memory_stats", "request_counts", "latency_buckets")
 
 
 def shown(rows):
