@@ -384,13 +384,23 @@ def add_facts(old: DataFrame, new: DataFrame) -> DataFrame:
     return keyed.withColumn("_k", key).groupBy("_k").agg(F.max_by(F.struct(*keyed.columns), F.struct("updated_at", "confidence")).alias("t")).select("t.*")
 
 
-def lookup_facts(triples: DataFrame, asked: DataFrame, most: int = 10) -> DataFrame:
-    """(query, subject, predicate, object, score): 2 for an equal subject or object, 1 for one that contains the query; the latest first."""
+def lookup_facts(triples: DataFrame, asked: DataFrame, most: int = 10, block: int = 1000) -> DataFrame:
+    """(query, subject, predicate, object, score): 2 for an equal subject or object, 1 for one that contains the query; the latest first.
+
+    Questions are broadcast in blocks of about ``block``, each compared with all triples.
+    """
+    asked = asked.select("query").distinct()
+    parts = max(1, -(-asked.count() // block))
+    part = F.pmod(F.xxhash64("query"), F.lit(parts).cast("long"))
     s, o, q = F.lower("subject"), F.lower("object"), F.lower(F.trim("query"))
     score = F.when((s == q) | (o == q), 2).when(s.contains(q) | o.contains(q), 1)
-    rows = triples.join(F.broadcast(asked.select("query").distinct().limit(1000)), score.isNotNull()).withColumn("score", score)  # a handful of questions
     nth = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.desc("updated_at"), "subject", "predicate", "object"))
-    return rows.withColumn("_n", nth).where(F.col("_n") <= most).select("query", "subject", "predicate", "object", "score")
+    out = None
+    for n in range(parts):
+        rows = triples.join(F.broadcast(asked.where(part == n)), score.isNotNull()).withColumn("score", score)
+        rows = rows.withColumn("_n", nth).where(F.col("_n") <= most).select("query", "subject", "predicate", "object", "score")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def related(triples: DataFrame) -> DataFrame:

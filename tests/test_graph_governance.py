@@ -114,6 +114,9 @@ def test_triples(spark):
     facts = K.add_facts(old, new)
     assert facts.count() == 2 and facts.where("source = 'b'").count() == 2
     assert [r.score for r in K.lookup_facts(facts, spark.createDataFrame([("uk",)], "query string")).collect()] == [2]
+    several = spark.createDataFrame([("uk",), ("ACME",), ("glob",), ("none",)], "query string")
+    whole = {tuple(r) for r in K.lookup_facts(facts, several).collect()}
+    assert whole and {tuple(r) for r in K.lookup_facts(facts, several, block=1).collect()} == whole
     assert K.related(facts).where("lower(entity) = 'acme'").count() == 2
 
 
