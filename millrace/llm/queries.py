@@ -109,7 +109,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = [f"shard-{i:03d}" for i in range(64)]
-    return maglev.place(table(spark, sf_dir, "documents").select("doc_id", "text"), shards).select("doc_id", "slot", "shard")
+    return maglev.place(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), shards, spare="n_chars").select("doc_id", "slot", "shard")
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
