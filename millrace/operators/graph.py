@@ -164,12 +164,16 @@ NODE = ("id", "tenant_id", "type", "key", "label", "props")
 EDGE = ("tenant_id", "type", "src_id", "dst_id", "src_key", "dst_key")
 
 
-def build(found: DataFrame, labels: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def build(found: DataFrame, labels: DataFrame | None = None, whole: bool = False) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of claims. Claims of one entity whose text begins alike are one node; of equal keys the first stays.
 
+    ``whole`` tells claims apart by their whole text: a key that is cut short
+    then ends in the text's hash, and no claim hides behind another.
     ``labels(entity_key, label)`` names entities; others show their key.
     """
-    key = F.concat(F.lit("claim:"), F.col("entity_key"), F.lit("|"), truncate(F.trim(F.regexp_replace(F.lower("text"), r"\s+", " ")), 64))
+    said = F.trim(F.regexp_replace(F.lower("text"), r"\s+", " "))
+    rest = F.when(F.length(said) > 64, F.concat(F.lit("#"), F.sha2(said, 256))).otherwise("") if whole else F.lit("")
+    key = F.concat(F.lit("claim:"), F.col("entity_key"), F.lit("|"), truncate(said, 64), rest)
     evidence = F.concat(F.lit("evidence:"), F.coalesce("doc_id", F.lit("NA")), F.lit("#p"), F.coalesce(F.col("page").cast("string"), F.lit("NA")), F.lit(":"), F.coalesce("chunk_id", F.lit("NA")))
     rows = found.withColumns({"claim_key": key, "evidence_key": evidence, "_o": F.struct("doc_id", "page", "chunk_id", "sentence_no")})
     props = {

@@ -170,3 +170,19 @@ def test_audit_chain(spark):
     assert G.verify_chain(more).where("not sound or not linked").count() == 0
     changed = log.withColumn("actor", F.when(F.col("seq") == 2, "x").otherwise(F.col("actor")))
     assert [r.seq for r in G.verify_chain(changed).where("not sound").collect()] == [2]
+
+
+def test_detectors_judge_claims_that_begin_alike(spark, tmp_path):
+    import duckdb
+
+    from millrace.plans import graph as plan
+
+    start = "Scope 1 emissions of all our plants and of the offices in the north will be "
+    texts = [start + "cut by 2030.", start + "measured.", start + "seen where possible.", start + "MEASURED.", "Nothing said."]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{path}/*.parquet'")
+    want = sorted(con.execute(plan.ORACLES["detectors"]).fetchall())
+    assert ("missing_target", "warning") in {r[:2] for r in want}
+    assert sorted(tuple(r) for r in plan.detectors(spark, str(tmp_path)).collect()) == want
