@@ -15,16 +15,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import U64, settle
 
 RATE, FRAME, HOP = 5512, 1024, 256
 LOW, HIGH = 55.0, 2200.0
 SPAN = 12
-PART = 64
-SPLIT = 16
+#: Blocks of the index, at least; integers in a block, about; integers and meetings that a task has in hand at once.
+BLOCKS, HELD, EVENTS = 32, 1 << 20, 1 << 21
+FLIPS = np.array([0, *(1 << k for k in range(32))], np.int64)
 #: Filters as (kind, first class, classes, frames): 1 halves by class, 2 halves by time, 3 quarters, 4 and 5 thirds.
 FILTERS = [
     (1, 0, 6, 3),
@@ -166,21 +167,138 @@ def render_embeddings(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(run, "id long, prints array<long>")
 
 
-def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Votes for each query, recording and offset of every batch; rows of one query come together."""
-    for batch in batches:
-        members = batch.column("members")
-        size = np.asarray(members.value_lengths())
-        flat = members.flatten()
-        q = np.repeat(np.asarray(batch.column("q")), size)
-        other = np.asarray(flat.field("class_id"))
-        offset = np.repeat(np.asarray(batch.column("q_at")), size) - np.asarray(flat.field("at"))
-        keep = q != other
-        order = np.lexsort((offset[keep], other[keep], q[keep]))
-        rows = np.stack([x[keep][order] for x in (q, other, offset)])
-        first = np.flatnonzero(np.concatenate(([True], (rows[:, 1:] != rows[:, :-1]).any(axis=0)))) if rows.shape[1] else np.empty(0, int)
-        votes = np.diff(np.append(first, rows.shape[1]))
-        yield pa.RecordBatch.from_arrays([pa.array(rows[0][first]), pa.array(rows[1][first]), pa.array(rows[2][first].astype(np.int32)), pa.array(votes.astype(np.int64))], names=["q", "class_id", "offset", "votes"])
+def _pieces(sizes: np.ndarray, most: int) -> Iterator[slice]:
+    """Runs of neighbours whose sizes sum up to ``most``; one that is larger is a run of its own."""
+    ends, start = np.cumsum(sizes), 0
+    while start < len(sizes):
+        stop = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, side="right"))
+        stop = max(stop, start + 1)
+        yield slice(start, stop)
+        start = stop
+
+
+def _spread(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of ranges, the number of the range and the place of each element."""
+    at = np.repeat(np.arange(len(size)), size)
+    return at, np.arange(len(at)) + (start - (np.cumsum(size) - size))[at]
+
+
+class _Prints:
+    """Prints of several recordings, end to end."""
+
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, flat: np.ndarray):
+        self.ids, self.sizes, self.flat = ids, sizes, flat
+        self.starts = np.cumsum(sizes) - sizes
+
+    def part(self, rows: slice) -> _Prints:
+        size = self.sizes[rows]
+        return _Prints(self.ids[rows], size, self.flat[self.starts[rows][0] : self.starts[rows][0] + size.sum()])
+
+    def firsts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(recording, place, integer) where a run of equal integers begins."""
+        row, place = _spread(np.zeros(len(self.sizes), np.int64), self.sizes)
+        new = np.ones(len(self.flat), bool)
+        new[1:] = (self.flat[1:] != self.flat[:-1]) | (place[1:] == 0)
+        return row[new], place[new], self.flat[new]
+
+
+class _Index:
+    """Where each integer of some recordings is; ``ask`` aligns queries with all of them."""
+
+    def __init__(self, held: _Prints):
+        self.held = held
+        row, place, value = held.firsts()
+        order = np.argsort(value, kind="stable")
+        self.row, self.place, self.value = row[order], place[order], value[order]
+        self.filter = np.zeros(1 << 22, bool)
+        self.filter[self._slot(self.value)] = True
+
+    @staticmethod
+    def _slot(value: np.ndarray) -> np.ndarray:
+        return ((value.view(np.uint64) * U64(0x9E3779B97F4A7C15)) >> U64(42)).view(np.int64)
+
+    def ask(self, asked: _Prints, agree: int, most_errors: float, least_overlap: int) -> Iterator[tuple[np.ndarray, ...]]:
+        """(query, recording, offset, overlap, differing bits) of the matches."""
+        for rows in _pieces(asked.sizes * len(FLIPS), EVENTS):
+            queries = asked.part(rows)
+            q, at, value = queries.firsts()
+            probes = (value[:, None] ^ FLIPS).ravel()
+            some = np.flatnonzero(self.filter[self._slot(probes)])
+            low, high = (np.searchsorted(self.value, probes[some], side=side) for side in ("left", "right"))
+            q, at, n = q[some // len(FLIPS)], at[some // len(FLIPS)], high - low
+            for here in _pieces(np.bincount(q, n, len(queries.ids)).astype(np.int64), EVENTS):
+                these = slice(*np.searchsorted(q, (here.start, here.stop)))
+                yield self._matches(queries, q[these], at[these], low[these], n[these], agree, most_errors, least_overlap)
+
+    def _votes(self, queries: _Prints, q: np.ndarray, at: np.ndarray, low: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(query, recording, offset, votes); what a query meets is counted in parts, however much it is."""
+        back = int(self.held.sizes.max(initial=0))
+        span = back + int(queries.sizes.max(initial=0)) + 1
+        keys, votes = np.empty(0, np.int64), np.empty(0, np.int64)
+        ends = np.cumsum(n)
+        for start in range(0, int(n.sum()), EVENTS):
+            stop = min(start + EVENTS, int(ends[-1]))
+            a, b = np.searchsorted(ends, start, side="right"), np.searchsorted(ends, stop, side="left") + 1
+            first = np.maximum(ends[a:b] - n[a:b], start)
+            which, place = _spread(low[a:b] + first - (ends[a:b] - n[a:b]), np.minimum(ends[a:b], stop) - first)
+            which += a
+            other = self.row[place]
+            key = (q[which] * len(self.held.ids) + other) * span + at[which] - self.place[place] + back
+            found, count = np.unique(key[queries.ids[q[which]] != self.held.ids[other]], return_counts=True)
+            if len(keys):
+                found, where = np.unique(np.concatenate((keys, found)), return_inverse=True)
+                count = np.bincount(where, np.concatenate((votes, count)), len(found)).astype(np.int64)
+            keys, votes = found, count
+        pair, offset = np.divmod(keys, span)
+        return *np.divmod(pair, len(self.held.ids)), offset - back, votes
+
+    def _matches(self, queries: _Prints, *asked) -> tuple[np.ndarray, ...]:
+        *asked, agree, most_errors, least_overlap = asked
+        q, row, offset, votes = self._votes(queries, *asked)
+        order = np.lexsort((offset, -np.abs(offset), votes, row, q))
+        best = order[np.append((q[order][1:] != q[order][:-1]) | (row[order][1:] != row[order][:-1]), True)] if len(order) else order
+        best = best[votes[best] >= agree]
+        q, row, offset = q[best], row[best], offset[best]
+        start = np.maximum(offset, 0)
+        overlap = np.minimum(queries.sizes[q], self.held.sizes[row] + offset) - start
+        long = np.flatnonzero(overlap >= max(1, least_overlap))
+        q, row, offset, start, overlap = (x[long] for x in (q, row, offset, start, overlap))
+        wrong = np.zeros(len(q), np.int64)
+        for here in _pieces(overlap, EVENTS):
+            _, mine = _spread(queries.starts[q[here]] + start[here], overlap[here])
+            _, theirs = _spread(self.held.starts[row[here]] + start[here] - offset[here], overlap[here])
+            bits = np.bitwise_count((queries.flat[mine] ^ self.held.flat[theirs]).view(np.uint64))
+            wrong[here] = np.add.reduceat(bits, np.cumsum(overlap[here]) - overlap[here], dtype=np.int64)
+        keep = wrong / (32.0 * overlap) <= most_errors
+        return queries.ids[q[keep]], self.held.ids[row[keep]], offset[keep], overlap[keep], wrong[keep]
+
+
+def _search(*limits):
+    """Queries against the recordings of their block: rows come by block, its recordings before the queries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, index = None, [], None
+        for batch in batches:
+            blocks, asks = np.asarray(batch.column("block")), np.asarray(batch.column("asks"))
+            edges = np.flatnonzero((blocks[1:] != blocks[:-1]) | (asks[1:] != asks[:-1])) + 1
+            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(blocks)], strict=True):
+                if a == b:
+                    continue
+                part = batch.slice(a, b - a)
+                lists = part.column("prints")
+                prints = np.asarray(part.column("class_id")), np.asarray(lists.value_lengths()).astype(np.int64), np.asarray(lists.flatten())
+                if blocks[a] != block:
+                    block, held, index = blocks[a], [], None
+                if not asks[a]:
+                    held.append(prints)
+                    continue
+                if index is None and held:
+                    index, held = _Index(_Prints(*(np.concatenate(x) for x in zip(*held, strict=True)))), []
+                for found in index.ask(_Prints(*prints), *limits) if index else ():
+                    if len(found[0]):
+                        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in found], names=["q", "class_id", "offset", "overlap", "wrong"])
+
+    return run, "q long, class_id long, offset long, overlap long, wrong long"
 
 
 def align(prints: DataFrame, every: int = 20, agree: int = 1, most_errors: float = 0.15, least_overlap: int = 20) -> DataFrame:
@@ -197,10 +315,11 @@ def align(prints: DataFrame, every: int = 20, agree: int = 1, most_errors: float
 
     The index holds every integer, and a query asks for each of its own and for
     the 32 that differ from it in one bit; a candidate has at least ``agree``
-    of them at its best offset (the tests measure the recall). Lists are cut in parts of
-    bounded length, so a common integer is no hot key, and none is dropped;
-    each query's histogram of offsets is counted in ``SPLIT`` parts, by the place
-    of the asked integer, and then summed, so no query is a hot key. Recordings without
+    of them at its best offset (the tests measure the recall). The index lies
+    in blocks of recordings, by a hash of their class, and every query is asked
+    of every block; meetings, histograms of offsets and the comparison of whole
+    overlaps stay in the task that holds the block, so rows are made of matches
+    alone: a common integer is no hot key, and none is dropped. Recordings without
     prints are their own class and match nothing, a null id has a null class,
     repeated rows are copies, other columns are ignored, an empty table gives an
     empty result.
@@ -211,31 +330,12 @@ def align(prints: DataFrame, every: int = 20, agree: int = 1, most_errors: float
     full = known.join(classes, "key", "left").select("id", F.coalesce("class_id", "id").alias("class_id"))
     one = settle(sound.join(classes, "key").where("id = class_id").dropDuplicates(["class_id"]).select("class_id", "asked", "prints"), "classes")
 
-    runs = one.select("class_id", "asked", F.posexplode("prints").alias("at", "print"))
-    # A held note repeats its integer: only the first of a run is indexed, on both sides alike.
-    first = Window.partitionBy("class_id").orderBy("at")
-    runs = runs.withColumn("before", F.lag("print").over(first)).where("before is null or before <> print").drop("before")
-    index = settle(runs, "index")
-    flips = F.array(*(F.lit(b).cast("long") for b in (0, *(1 << k for k in range(32)))))
-    probes = index.where("asked = 1").select(F.col("class_id").alias("q"), F.col("at").alias("q_at"), F.explode(F.transform(flips, lambda b: F.col("print").bitwiseXOR(b))).alias("print"))
-    # Integers that no query asks for meet nothing. Long lists are cut in parts of about ``PART``.
-    counts = index.groupBy("print").agg(F.count("*").alias("n")).join(probes.select("print").distinct(), "print", "left_semi")
-    shared = counts.select("print", F.expr(f"cast(ceil(n / {PART}D) as bigint)").alias("parts"))
-    held = index.join(shared, "print")
-    lists = held.withColumn("part", F.expr("pmod(xxhash64(class_id, at), parts)")).groupBy("print", "part").agg(F.collect_list(F.struct("class_id", "at")).alias("members"))
-    asked = probes.join(shared, "print").select("q", "q_at", "print", F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"))
-    met = asked.join(lists, ["print", "part"]).select("q", F.col("q_at").cast("long").alias("q_at"), "members")
-    counted = met.repartition("q", F.pmod("q_at", F.lit(SPLIT).cast("long"))).sortWithinPartitions("q").mapInArrow(_histogram, "q long, class_id long, offset int, votes long")
-    votes = counted.groupBy("q", "class_id", "offset").agg(F.sum("votes").alias("votes")).where(f"votes >= {agree}")
-    best = votes.groupBy("q", "class_id").agg(F.max_by("offset", F.struct("votes", -F.abs("offset"), "offset")).alias("offset"))
-    pairs = best.join(one.select(F.col("class_id").alias("q"), F.col("prints").alias("mine")), "q").join(one.select("class_id", F.col("prints").alias("theirs")), "class_id")
-    start, length = F.greatest(F.lit(0), F.col("offset")), F.least(F.size("mine"), F.size("theirs") + F.col("offset")) - F.greatest(F.lit(0), F.col("offset"))
-    wrong = F.aggregate(
-        F.zip_with(F.slice("mine", start + 1, F.greatest(length, F.lit(0))), F.slice("theirs", start - F.col("offset") + 1, F.greatest(length, F.lit(0))), lambda a, b: F.bit_count(a.bitwiseXOR(b))),
-        F.lit(0),
-        lambda s, v: s + v,
-    )
-    found = pairs.withColumn("overlap", length).where(f"overlap >= {least_overlap}").withColumn("error", wrong / (32.0 * F.col("overlap"))).where(f"error <= {most_errors}")
-    matches = found.select(F.col("q").alias("id"), F.col("q").alias("class_id"), F.col("class_id").alias("match_id"), "offset", F.col("overlap").cast("int").alias("overlap"), F.round("error", 6).alias("error"))
+    total = one.agg(F.sum(F.size("prints")).alias("n")).first().n or 0
+    blocks = max(BLOCKS, -(-total // HELD))
+    indexed = one.select(F.expr(f"cast(pmod(xxhash64(class_id), {blocks}) as int)").alias("block"), F.lit(False).alias("asks"), "class_id", "prints")
+    queries = one.where("asked = 1").select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("asks"), "class_id", "prints")
+    dealt = indexed.unionByName(queries).repartition(blocks, "block").sortWithinPartitions("block", "asks")
+    found = dealt.mapInArrow(*_search(agree, most_errors, least_overlap)).withColumn("error", F.col("wrong") / (32.0 * F.col("overlap")))
+    matches = found.select(F.col("q").alias("id"), F.col("q").alias("class_id"), F.col("class_id").alias("match_id"), F.col("offset").cast("int").alias("offset"), F.col("overlap").cast("int").alias("overlap"), F.round("error", 6).alias("error"))
     rows = full.select("id", "class_id", F.lit(None).cast("long").alias("match_id"), F.lit(None).cast("int").alias("offset"), F.lit(None).cast("int").alias("overlap"), F.lit(None).cast("double").alias("error"))
     return rows.unionByName(matches)

@@ -124,3 +124,63 @@ def test_alignment_against_all_pairs_and_offsets(spark):
     hit = [p for p in want if p in found]
     print("recall over all pairs and offsets", len(hit), "of", len(want), "; exact integers", sum(bool(set(prints[i].tolist()) & set(prints[j].tolist())) for i, j in want))
     assert (81, 80) in found and len(want) > 30 and len(hit) >= 0.95 * len(want)
+
+
+def most_rows(spark, run):
+    """The most rows that a node of any plan made while ``run`` ran."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    most, ends = 0, store.executionsList()
+    for i in range(before, ends.size()):
+        key = ends.apply(i).executionId()
+        values, nodes = store.executionMetrics(key), store.planGraph(key).allNodes()
+        for j in range(nodes.size()):
+            metrics = nodes.apply(j).metrics()
+            for k in range(metrics.size()):
+                if metrics.apply(k).name() == "number of output rows" and values.contains(metrics.apply(k).accumulatorId()):
+                    most = max(most, int(values.apply(metrics.apply(k).accumulatorId()).replace(",", "")))
+    return most
+
+
+def test_rows_are_made_of_matches_and_not_of_candidates(spark):
+    rng = np.random.default_rng(5)
+    prints = rng.integers(0, 2**32, (400, 30))
+    prints[:, 7] = 12345  # all share an integer, and nothing else
+    rows = spark.createDataFrame([(i, [int(v) for v in p]) for i, p in enumerate(prints)], "id long, prints array<long>")
+    found = []
+    most = most_rows(spark, lambda: found.extend(align(rows, every=2).collect()))
+    assert len(found) == 400 and all(r.match_id is None for r in found)
+    assert most <= 400 + 200 * 32  # recordings, and each query in each block
+
+
+def test_search_counted_in_small_parts(monkeypatch):
+    import pyarrow as pa
+
+    from millrace.llm import chroma as module
+
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**32, 40)
+    prints = [np.concatenate([rng.integers(0, 2**32, int(rng.integers(0, 9))), base ^ (1 << rng.integers(0, 32, 40)) * rng.integers(0, 2, 40)]) for _ in range(25)] + [rng.integers(0, 3, 50) for _ in range(15)]
+    ids, asks = np.arange(len(prints)), np.arange(0, len(prints), 3)
+    rows = [*((0, False, int(i)) for i in ids), *((0, True, int(i)) for i in asks), *((1, True, int(i)) for i in asks)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in part]), pa.array([r[1] for r in part]), pa.array([r[2] for r in part]), pa.array([prints[r[2]].tolist() for r in part], pa.list_(pa.int64()))], names=["block", "asks", "class_id", "prints"]) for part in (rows[:17], rows[17:41], rows[41:])]
+
+    def found():
+        return sorted(tuple(r.values()) for b in module._search(1, 0.15, 20)[0](iter(batches)) for r in b.to_pylist())
+
+    want = []
+    for q in asks.tolist():
+        for m in ids.tolist():
+            heads = [[(at, v) for at, v in enumerate(prints[i].tolist()) if not at or prints[i][at - 1] != v] for i in (q, m)]
+            votes = Counter(a - b for a, x in heads[0] for b, y in heads[1] if (x ^ y).bit_count() <= 1)
+            if q != m and votes:
+                o = max(votes, key=lambda o: (votes[o], -abs(o), o))
+                n = min(len(prints[q]), len(prints[m]) + o) - max(0, o)
+                wrong = sum((x ^ y).bit_count() for x, y in zip(prints[q][max(0, o) :].tolist(), prints[m][max(0, -o) :].tolist()))
+                if n >= 20 and wrong / (32 * n) <= 0.15:
+                    want.append((q, m, o, n, wrong))
+    assert len(want) > 100 and found() == sorted(want)
+    monkeypatch.setattr(module, "EVENTS", 7)
+    assert found() == sorted(want)
