@@ -35,6 +35,9 @@ components), so a group of copies costs a few stars and not a clique, while no
 link between components is missed: after the last pass every pair of a bucket
 is either in one component or was compared.
 
+Signatures that the same nodes share are one bucket: near copies share many,
+and the second pass deals each bucket once.
+
 A node is a distinct set, whatever rows hold it; its key is a hash of the set.
 """
 
@@ -318,6 +321,21 @@ def _verify(num: int, den: int, width: int):
     return run, "a long, b long"
 
 
+def _buckets(placed: DataFrame) -> DataFrame:
+    """(sig, node, n, hub, other) of the signatures ``placed(sig, node, n)`` that several nodes share.
+
+    ``sig`` becomes a hash of the nodes that share it: near copies have many
+    signatures in common, and what the same nodes share is one bucket. ``hub``
+    is the least node of a bucket, ``other`` the first in one of a few orders.
+    """
+    by_sig = Window.partitionBy("sig")
+    order = F.xxhash64(F.pmod("sig", F.lit(ORDERS).cast("long")), "node")
+    same = (F.count("*"), F.bit_xor(F.xxhash64("node")), F.sum(F.expr("pmod(xxhash64(node, 7), 1L << 40)")))
+    rows = placed.repartition("sig")  # hashes are taken where the nodes meet, and not dealt
+    rows = rows.withColumns({"hub": F.min("node").over(by_sig), "hi": F.max("node").over(by_sig), "other": F.min_by("node", order).over(by_sig), **{f"same{i}": c.over(by_sig) for i, c in enumerate(same)}})
+    return rows.where("hub < hi").select(F.xxhash64("hub", "hi", *(f"same{i}" for i in range(len(same)))).alias("sig"), "node", "n", "hub", "other")
+
+
 def jaccard_components(docs: DataFrame, num: int = 9, den: int = 10, width: int = 3) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs(doc_id, text)``.
 
@@ -357,13 +375,10 @@ def jaccard_components(docs: DataFrame, num: int = 9, den: int = 10, width: int
 
         # Keys that several sets have, with how many; a key streams through a spillable sort.
         by_key = Window.partitionBy("key")
-        held = signed.mapInArrow(*_cells(bands, width, strangers)).withColumn("lo", F.min("node").over(by_key)).withColumn("hi", F.max("node").over(by_key)).withColumn("n", F.count("*").over(by_key))
-        cells = scratch.keep(held.where("lo < hi").groupBy("node").agg(F.collect_list(F.struct("key", "n")).alias("cells")), "cells")
-        by_sig = Window.partitionBy("sig")
+        keys = signed.mapInArrow(*_cells(bands, width, strangers)).withColumn("lo", F.min("node").over(by_key)).withColumn("hi", F.max("node").over(by_key)).withColumn("n", F.count("*").over(by_key))
+        cells = scratch.keep(keys.where("lo < hi").groupBy("node").agg(F.collect_list(F.struct("key", "n")).alias("cells")), "cells")
         placed = cells.join(facts.select("node", "n", "spare"), "node").mapInArrow(*_subsets(bands))
-        order = F.xxhash64(F.pmod("sig", F.lit(ORDERS).cast("long")), "node")
-        bucket = placed.withColumn("hub", F.min("node").over(by_sig)).withColumn("hi", F.max("node").over(by_sig)).withColumn("other", F.min_by("node", order).over(by_sig))
-        bucket = scratch.keep(bucket.where("hub < hi").drop("hi"), "buckets")
+        bucket = scratch.keep(_buckets(placed), "buckets")
         scratch.drop(cells)
 
         def near(pairs: DataFrame) -> DataFrame:
@@ -378,7 +393,7 @@ def jaccard_components(docs: DataFrame, num: int = 9, den: int = 10, width: int
             Sizes and folded sketches are compared where the pair meets, so a
             pair that they tell apart is no row.
             """
-            rows = bucket.select("sig", F.col("node").alias("id"), "n").join(comp, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+            rows = held.select("sig", F.col("node").alias("id"), "n").join(comp, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
             if inside is not None:
                 rows = rows.join(inside.withColumnRenamed("component", "w"), "id")
             by = ["sig"] + (["w"] if inside is not None else [])
@@ -410,6 +425,8 @@ def jaccard_components(docs: DataFrame, num: int = 9, den: int = 10, width: int
         ends = F.array(*(F.struct(F.least(h, "node").alias("a"), F.greatest(h, "node").alias("b")) for h in ("hub", "other")))
         stars = bucket.select(F.explode(ends).alias("e")).select("e.*").where("a < b").distinct()
         found = scratch.keep(near(stars), "pairs")
+        held = scratch.keep(bucket.select("sig", "node", "n").distinct(), "buckets")
+        scratch.drop(bucket)
         loose = components(scratch, found)
         pairs = scratch.keep(found.unionByName(near(across(loose))).distinct(), "pairs")
 
