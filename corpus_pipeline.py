@@ -6,7 +6,8 @@ but the last return the columns of ``documents``. Rows are what is judged, as
 ids can be null or repeated; they are told apart by their content, or by a
 number that is written with them. Keys that a stage drops are written first:
 Spark then knows the size of that table and broadcasts it only below
-``spark.sql.autoBroadcastJoinThreshold``; above it both sides shuffle.
+``spark.sql.autoBroadcastJoinThreshold``; above it both sides shuffle, in
+``near_duplicates`` only the rows that a sieve of bounded size lets through.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType
 
 from millrace.llm import langid, mixing, partenum, pii, spiece
-from millrace.llm.common import settle, table
+from millrace.llm.common import free, settle, sieve, table
 
 
 def _key(docs: DataFrame) -> Column:
@@ -29,14 +30,6 @@ def _key(docs: DataFrame) -> Column:
     return F.concat_ws(":", *(F.xxhash64(F.lit(seed), *parts).cast("string") for seed in (1, 2)))
 
 
-def _free(docs: DataFrame, name: str) -> str:
-    """A column name that ``docs`` does not have."""
-    taken = {c.lower() for c in docs.columns}
-    while name in taken:
-        name += "_"
-    return name
-
-
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; the evidence is the text, the recorded language and the source.
 
@@ -46,7 +39,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     table, and one without a recorded language, gives no rows. Other columns
     stay, whatever their names.
     """
-    key = _free(docs, "row_key")
+    key = free(docs, "row_key")
     rows = docs.withColumn(key, _key(docs))
     rejected = langid.identify_documents(rows, key=key).where("not accepted").select(F.col("doc_id").alias(key)).distinct()
     return rows.join(settle(rejected, "rejected"), key, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
@@ -61,15 +54,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     whole. An empty table gives no rows. Other columns stay, whatever their
     names.
     """
-    key, at = _free(docs, "row_key"), F.col
+    key, at = free(docs, "row_key"), F.col
     rows = docs.withColumn(key, _key(docs))
     order = F.struct(at("doc_id").isNull().alias("nameless"), at("doc_id").cast("long").alias("id"), at(key).alias("row"))
     found = partenum.jaccard_components(rows.select(order.alias("doc_id"), "text"), num=8, den=10, width=5)
     found = found.where("n_shingles > 0").select(F.col("doc_id.row").alias(key), (F.col("doc_id") == F.col("component_id")).alias("first"))
     # Rows that go, and kept ones that occur more than once; most documents are neither.
     found = settle(found.groupBy(key, "first").agg(F.count("*").alias("rows")).where("rows > 1 or not first"), "found")
-    out = rows.join(found, key, "left_anti")
-    once = rows.join(found.where("first").select(key), key, "left_semi").dropDuplicates([key])
+    # Only they and the few rows that the sieve cannot tell from them are shuffled.
+    near, out = sieve(rows, found, key)
+    out = out.unionByName(near.join(found, key, "left_anti"))
+    once = near.join(found.where("first").select(key), key, "left_semi").dropDuplicates([key])
     return out.unionByName(once).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
@@ -91,7 +86,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     very long ones count with all their words. An empty table gives no rows.
     Other columns stay, whatever their names.
     """
-    key, copies, each = _free(docs, "row_number"), _free(docs, "row_copies"), _free(docs, "row_copy")
+    key, copies, each = free(docs, "row_number"), free(docs, "row_copies"), free(docs, "row_copy")
     rows = settle(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
     taken = mixing.mix(rows, key=key).select(key, F.expr("cast(floor(try_divide(taken, cast(size as double)) + 0.5D) as int)").alias(copies))
     repeated = rows.join(taken.where(F.col(copies) > 0), key).withColumn(each, F.explode(F.sequence(F.lit(1), F.col(copies))))

@@ -106,6 +106,30 @@ def join_split(big: DataFrame, small: DataFrame, key: str, size: str, total: int
     return big.join(hot, key).unionByName(spread)
 
 
+def free(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def sieve(rows: DataFrame, keys: DataFrame, key: str, words: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose ``key`` may be in ``keys``, and those whose key is certainly not; ``rows`` is not shuffled.
+
+    Each of ``keys`` marks a bit of at most ``words`` words of 64 bits, a table
+    that is broadcast. A key that meets a marked bit by chance is in the first
+    part, so that one needs an exact join; with many more keys than bits it
+    holds most rows, and none is lost.
+    """
+    slot, bits = free(rows, "sieve_slot"), free(rows, "sieve_bits")
+    place, mark = f"pmod(xxhash64(`{key}`), {words}L)", f"shiftleft(1L, cast(pmod(shiftright(xxhash64(`{key}`), 32), 64L) as int))"
+    marks = keys.groupBy(F.expr(place).alias(slot)).agg(F.bit_or(F.expr(mark)).alias(bits))
+    met = rows.join(F.broadcast(marks), F.expr(place) == F.col(slot), "left")
+    marked = F.coalesce(F.expr(f"({bits} & {mark}) <> 0"), F.lit(False))
+    return met.where(marked).drop(slot, bits), met.where(~marked).drop(slot, bits)
+
+
 def slices(batch: pa.RecordBatch, column: str, budget: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Cut a record batch into runs of rows of about ``budget`` bytes in ``column``."""
     values = batch.column(batch.schema.get_field_index(column))

@@ -52,7 +52,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, components, join_split, mix64, shingle_sets, slices, utf8
+from .common import U64, Scratch, components, join_split, mix64, shingle_sets, sieve, slices, utf8
 
 SMALL = 6
 CELLS = 1.6
@@ -397,7 +397,8 @@ def jaccard_components(docs: DataFrame, num: int = 9, den: int = 10, width: int
         def texts_of(pairs: DataFrame) -> DataFrame:
             """The texts of the nodes of ``pairs``, each once and packed."""
             nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-            packed = signed.mapInArrow(*_texts(width, strangers)).join(nodes, "node", "left_semi")
+            packed, _ = sieve(signed.mapInArrow(*_texts(width, strangers)), nodes, "node")
+            packed = packed.join(nodes, "node", "left_semi")
             return scratch.keep(packed.groupBy("node").agg(F.first("text").alias("text")), "texts")
 
         def crossing(pairs: DataFrame, comp: DataFrame) -> DataFrame:
