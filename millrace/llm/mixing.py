@@ -122,7 +122,8 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, share: float = 1.5, m
     else:
         source = source.alias("s").join(weights.alias("w"), F.col("s.source").eqNullSafe(F.col("w.source"))).select("s.*", F.col("w.weight").cast("long").alias("weight"))
     source = water_fill(source, share, float(most))
-    source = source.withColumn("_shards", F.expr(f"least({most_shards}L, cast(ceil(_rows / {shard_rows}D) as bigint))"))
+    # Sources, shards and quotas are small tables that several branches read: written, each is planned once and not once a branch.
+    source = settle(source.withColumn("_shards", F.expr(f"least({most_shards}L, cast(ceil(_rows / {shard_rows}D) as bigint))")), "sources")
 
     # One narrow row a document; its shard is a seeded hash bucket of its source, so a hot source is spread.
     code = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
@@ -131,20 +132,20 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, share: float = 1.5, m
         *(f"d.{k}" for k in keys), "d.doc_id", "d.source", "d.size", "d._code", "s.source_size", "s.target", F.expr("cast(conv(substring(d._code, 1, 8), 16, 10) as bigint) % s._shards").alias("shard")
     )
     shards = narrow.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
-    shards = shards.withColumn("blocks", F.expr(f"cast(ceil(shard_size / {float(block)}D) as bigint)"))
+    shards = settle(shards.withColumn("blocks", F.expr(f"cast(ceil(shard_size / {float(block)}D) as bigint)")), "shards")
     by_source = shards.groupBy("source").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum("blocks").alias("blocks"))
     by_source = (
         by_source.withColumn("all_seats", F.expr(f"cast(floor(sum(source_size) over (partition by 0) * {min(share, most)}D / {float(block)}D + 0.5D) as bigint)"))
         .withColumn("most_seats", F.col("blocks") * most)
         .withColumn("vote", F.expr("cast(floor(target * 1024D) as bigint)"))  # whole numbers: their sum has no order
     )
-    by_source = highest_quotients(by_source, [], "source", "vote", "all_seats", "most_seats", "quota")
+    by_source = settle(highest_quotients(by_source, [], "source", "vote", "all_seats", "most_seats", "quota").select("source", "quota"), "quotas")
     shards = shards.alias("h").join(by_source.alias("q"), F.col("h.source").eqNullSafe(F.col("q.source"))).select("h.source", "h.shard", "h.shard_size", "h.blocks", F.col("q.quota").alias("source_quota"))
     shards = shards.withColumn("most_seats", F.col("blocks") * most)
     shards = highest_quotients(shards, ["source"], "shard", "shard_size", "source_quota", "most_seats", "quota")
     first = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce("source", F.lit("")), F.col("shard").cast("string")))
     start = F.conv(F.substring(first, 1, 8), 16, 10).cast("long") % F.col("blocks")
-    shards = shards.withColumn("first_block", F.when(F.col("blocks") > 0, start).otherwise(F.lit(0).cast("long")))
+    shards = settle(shards.withColumn("first_block", F.when(F.col("blocks") > 0, start).otherwise(F.lit(0).cast("long"))), "placed")
 
     placed = Window.partitionBy("source", "shard").orderBy("_code", "doc_id", "size", *keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     laid = narrow.withColumn("_end", F.sum("size").over(placed)).withColumn("_start", F.col("_end") - F.col("size"))

@@ -94,3 +94,21 @@ def test_one_word_documents_meet_their_targets(spark):
     assert all(abs(r.taken - r.target) <= 1 for r in got)
     full = [r for r in got if r.target == 4000]
     assert len(full) == 1 and full[0].least == 2
+
+
+def test_no_step_is_one_large_plan(spark, monkeypatch):
+    """The driver plans, prints and replans a step for each of its exchanges; a table read by several branches is planned for each of them."""
+    from millrace.llm import mixing
+
+    lines = []
+
+    def settle(df, what, inner=mixing.settle):
+        lines.append(df._jdf.queryExecution().optimizedPlan().toString().count("\n"))
+        return inner(df, what)
+
+    monkeypatch.setattr(mixing, "settle", settle)
+    docs = spark.createDataFrame([(i, "a b c " * (1 + i % 7), "xyz"[i % 3]) for i in range(300)], "doc_id long, text string, source string")
+    out = mix(docs)
+    lines.append(out._jdf.queryExecution().optimizedPlan().toString().count("\n"))
+    assert max(lines) < 60, lines
+    assert out.count() == 300
