@@ -58,6 +58,10 @@ SMALL = 6
 CELLS = 1.6
 GROUP = 8
 SEEN = 200_000
+# Bytes of text, bytes of packed text and cells that a worker has at work at once; its arrays are many times as large.
+TEXT_BYTES = 1_000_000
+PACKED_BYTES = 250_000
+RUN_CELLS = 1 << 17
 ORDERS = 8
 LEAST_BITS = 512
 PARITY = [f"p{j}" for j in range(LEAST_BITS // 64)]
@@ -216,7 +220,7 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int, strangers: frozenset) -
     """(batch, sets, node keys, second hashes, rows with a doc_id whose set this task has not met lately)."""
     seen: set[int] = set()
     for whole in batches:
-        for batch in slices(whole, "text"):
+        for batch in slices(whole, "text", TEXT_BYTES):
             sets = shingle_sets(*utf8(batch.column("text")), width)
             h2 = _hashes(sets, 0x5851F42D4C957F2D)
             node = _hashes(sets, 0)
@@ -261,9 +265,19 @@ def _cells(bands: Bands, width: int, strangers: frozenset):
     return run, "key long, node long"
 
 
+def _runs(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Record batches cut into runs of rows of about ``most`` items in the lists of ``column``."""
+    for batch in batches:
+        ends, start = np.cumsum(np.asarray(batch.column(column).value_lengths(), np.int64)), 0
+        while start < len(batch):
+            end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, side="right")))
+            yield batch.slice(start, end - start)
+            start = end
+
+
 def _subsets(bands: Bands):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _runs(batches, "cells", RUN_CELLS):
             cells = batch.column("cells")
             flat = cells.flatten()
             at = np.repeat(np.arange(len(batch)), np.asarray(cells.value_lengths()))
@@ -305,7 +319,7 @@ def _verify(num: int, den: int, width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "ta", 1_000_000):
+            for batch in slices(whole, "ta", PACKED_BYTES):
                 a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
                 ends = dict(zip(a, batch.column("ta").to_pylist(), strict=True)) | dict(zip(b, batch.column("tb").to_pylist(), strict=True))
                 last = dict(zip(ends, unpack(list(ends.values())), strict=True))

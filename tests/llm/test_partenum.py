@@ -120,3 +120,28 @@ def test_shingle_counts_on_odd_texts():
     texts = ["", "a", "a b", "a b c", "a b c a b c", "x\x0by\x0cz", "é è ê ë", "a b c d", " lead and trail ", None, "q" * 50_000 + " b c d"]
     got = [len(s) for s in shingle_sets(*utf8(pa.array(texts, pa.string())), 3)]
     assert got == [len(shingles(t)) for t in texts]
+
+
+def test_cells_are_taken_in_runs_and_none_is_lost(monkeypatch):
+    from millrace.llm import partenum
+
+    rng = random.Random(4)
+    bands = partenum.Bands(8, 10)
+    sets = [np.unique(np.array([rng.getrandbits(64) for _ in range(n)], np.uint64)) for n in [1, 2, 40, 3000, 5, 700, 60, 4, 900, 2500] * 3]
+    keys = [np.unique(bands.sign(x)).view(np.int64).tolist() for x in sets]
+    kind = pa.struct([("key", pa.int64()), ("n", pa.int64())])
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(len(sets)), pa.int64()), pa.array([[{"key": k, "n": 2} for k in x] for x in keys], pa.list_(kind)), pa.array([len(x) for x in sets], pa.int64()), pa.array([bands.spare(x) for x in sets], pa.list_(pa.int64()))],
+        names=["node", "cells", "n", "spare"],
+    )
+    runs = [len(r) for r in partenum._runs(iter([batch, batch.slice(3, 9), batch.slice(0, 0)]), "cells", 500)]
+    assert sum(runs) == len(sets) + 9 and min(runs) == 1 < max(runs)
+
+    def rows(most):
+        monkeypatch.setattr(partenum, "RUN_CELLS", most)
+        run, _ = partenum._subsets(bands)
+        found = list(run(iter([batch])))
+        return sorted(r for b in found for r in zip(*(b.column(c).to_pylist() for c in ("node", "sig", "n")), strict=True)), len(found)
+
+    (one, whole), (many, cut) = rows(1 << 40), rows(500)
+    assert one == many and whole == 1 < cut
