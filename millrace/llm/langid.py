@@ -23,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, slices, utf8
+from .common import settle, slices, tidy, utf8
 
 SAMPLE = 1200
 MOST_LANGUAGES = 64
 CELLS = 1 << 16
+# Bytes of text that a worker has at work at once; its arrays are many times as large.
+TEXT_BYTES = 500_000
 TEMPER = 0.1
 SMOOTH = 20.0
 
@@ -75,11 +77,12 @@ def sample(labelled: DataFrame, size: int = SAMPLE, seed: int = 23) -> tuple[lis
 
 
 def _score(held):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = held.value
         k = table.shape[1]
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", TEXT_BYTES):
                 raw, at = utf8(batch.column("text"))
                 cells, rows = trigrams(raw, at)
                 n = len(at) - 1

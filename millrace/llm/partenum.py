@@ -52,7 +52,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, components, join_split, mix64, shingle_sets, sieve, slices, utf8
+from .common import U64, Scratch, components, join_split, mix64, shingle_sets, sieve, slices, tidy, utf8
 
 SMALL = 6
 CELLS = 1.6
@@ -240,6 +240,7 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int, strangers: frozenset) -
 def _describe(bands: Bands, width: int, kind: str):
     """Every row with its set's size, key and second hash; the sketch and the spare cells once for a set in a task."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sets, node, h2, fresh in _sets(batches, width, frozenset()):
             drawn, spare = [None] * len(sets), [None] * len(sets)
@@ -256,6 +257,7 @@ def _describe(bands: Bands, width: int, kind: str):
 
 
 def _cells(bands: Bands, width: int, strangers: frozenset):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, sets, node, _, fresh in _sets(batches, width, strangers):
             keys = [bands.sign(sets[i]) for i in fresh]
@@ -276,6 +278,7 @@ def _runs(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator
 
 
 def _subsets(bands: Bands):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _runs(batches, "cells", RUN_CELLS):
             cells = batch.column("cells")
@@ -295,6 +298,7 @@ def _subsets(bands: Bands):
 def _near(num: int, den: int):
     """Pairs whose sketches do not prove that they differ in too much: |xy| >= num (nx + ny) / (num + den)."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols = (batch.column(c).to_pylist() for c in ("na", "nb", "sa", "sb"))
@@ -305,6 +309,7 @@ def _near(num: int, den: int):
 
 
 def _texts(width: int, strangers: frozenset):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, _, node, _, fresh in _sets(batches, width, strangers):
             texts = batch.column("text").take(pa.array(fresh, pa.int64())).to_pylist()
@@ -317,6 +322,7 @@ def _verify(num: int, den: int, width: int):
     def unpack(values: list[bytes]) -> list[np.ndarray]:
         return shingle_sets(*utf8(pa.array([zlib.decompress(v).decode() for v in values], pa.large_string())), width)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "ta", PACKED_BYTES):

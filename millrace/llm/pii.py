@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
@@ -398,6 +398,7 @@ def find_spans(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """
     held = docs.sparkSession.sparkContext.broadcast(field or train(labelled()))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in _texts(batches, "text"):
             found = find(held.value, texts)
@@ -427,6 +428,7 @@ def redact(docs: DataFrame, field: Field | None = None, mask: str = "[{kind}]")
             at = max(at, b)
         return "".join([*out, text[at:]])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in _texts(batches, "text"):
             found = find(held.value, texts)

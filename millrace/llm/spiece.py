@@ -30,12 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, _powers, mix64, slices
+from .common import U64, _powers, mix64, slices, tidy
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MOST_MODEL = 64 << 20
 BLANK = "▁"
 CACHED = 1_000_000
+# Characters whose words a worker hashes and looks up at once; its arrays are many times as large.
+RUN_CHARS = 250_000
 
 
 class Pieces:
@@ -379,13 +381,37 @@ class Encoder:
         return np.split(flat, ends[:-1]) if len(texts) else []
 
     def flat(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, one after another, and where each text's ids end."""
+        """Ids of all texts, one after another, and where each text's ids end.
+
+        Texts are cut into words and looked up in runs of about ``RUN_CHARS``
+        characters; new words of all runs are learnt at once.
+        """
+        if len(self.known) > CACHED:
+            self.clear()
+        runs, fresh, words = [], [np.empty(0, U64)], []
+        for run in text_runs(texts, RUN_CHARS):
+            distinct, which, ends, hashes, found = self._cut(run)
+            runs.append((distinct, which, ends))
+            fresh.append(hashes)
+            words += found
+        if words:
+            hashes, first = np.unique(np.concatenate(fresh), return_index=True)
+            self._learn(hashes, [words[i] for i in first.tolist()])
+        flat, stops, at = [np.empty(0, np.int32)], [np.empty(0, np.int64)], 0
+        for distinct, which, ends in runs:
+            of = np.searchsorted(self.known, distinct)[which]
+            count = self.count[of]
+            flat.append(gather(self.ids, self.start[of], count))
+            stops.append(np.concatenate(([0], np.cumsum(count)))[ends] + at)
+            at += len(flat[-1])
+        return np.concatenate(flat), np.concatenate(stops)
+
+    def _cut(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
+        """Distinct hashes of the words of texts, which of them each word has, the number of words up to each text's end; hashes of unknown words and these."""
         lead = " " if self.pieces.prefix else ""
         joined = "".join(lead + t if t else "" for t in texts).replace(" ", BLANK)
         if not joined:
-            return np.empty(0, np.int32), np.zeros(len(texts), np.int64)
-        if len(self.known) > CACHED:
-            self.clear()
+            return np.empty(0, U64), np.empty(0, np.int32), np.zeros(len(texts), np.int64), np.empty(0, U64), []
         codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         ends = np.cumsum([len(t) + len(lead) if t else 0 for t in texts])
         cut = np.ones(len(codes) + 1, bool)
@@ -402,14 +428,21 @@ class Encoder:
         new = np.ones(len(distinct), bool)
         inside = place < len(self.known)
         new[inside] = self.known[place[inside]] != distinct[inside]
-        if new.any():
-            where = first[new]
-            self._learn(distinct[new], [joined[a : a + n] for a, n in zip(start[where].tolist(), length[where].tolist(), strict=True)])
-            place = np.searchsorted(self.known, distinct)
-        of = place[which]
-        count = self.count[of]
-        sums = np.concatenate(([0], np.cumsum(count)))
-        return gather(self.ids, self.start[of], count), sums[np.searchsorted(start, ends)]
+        where = first[new]
+        words = [joined[a : a + n] for a, n in zip(start[where].tolist(), length[where].tolist(), strict=True)]
+        return distinct, which.astype(np.int32), np.searchsorted(start, ends), distinct[new], words
+
+
+def text_runs(texts: Sequence[str], most: int) -> Iterator[Sequence[str]]:
+    """Texts cut into runs of about ``most`` characters; a longer text is a run of its own."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > most:
+            yield texts[start:i]
+            start, size = i, 0
+        size += len(t)
+    if start < len(texts):
+        yield texts[start:]
 
 
 class Decoder:
@@ -471,6 +504,7 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """
     held = _model(docs, model)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, encoder, _ = load(held.value)
         for whole in batches:
@@ -486,6 +520,7 @@ def decode(coded: DataFrame, model: str = MODEL) -> DataFrame:
     """(doc_id, text) for every row of ``coded(doc_id, ids)``; null and empty ids give an empty text, broken bytes U+FFFD."""
     held = _model(coded, model)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = load(held.value)[2]
         for batch in batches:
@@ -506,6 +541,7 @@ def digest(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """
     held = _model(docs, model)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, encoder, decoder = load(held.value)
         for whole in batches:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
+import pyarrow as pa
 import pytest
 
-from millrace.llm.common import shared_dir
+from millrace.llm.common import shared_dir, tidy
 
 
 class Session:
@@ -34,3 +38,23 @@ def test_local_session_without_a_folder_gets_one_for_good():
 def test_cluster_without_a_folder_raises(master):
     with pytest.raises(RuntimeError):
         shared_dir(Session(spark_master=master))
+
+
+def test_a_waiting_worker_holds_no_freed_memory():
+    def held():
+        return int(re.search(r"RssAnon:\s+(\d+)", Path("/proc/self/status").read_text())[1]) / 1024
+
+    @tidy
+    def run(batches):
+        for batch in batches:
+            kept.append([bytes(2000) for _ in range(60_000)])  # 120 MB in small pieces
+            kept.append(bytes(2000))  # above them, so the heap's end stays where it is
+            del kept[0]
+            yield batch
+
+    kept: list = []
+    batch = pa.RecordBatch.from_pydict({"a": ["x"]})
+    before = held()
+    task = run(iter([batch]))
+    assert next(task) is batch and held() - before > 80
+    assert list(task) == [] and held() - before < 40

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -7,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from sentencepiece import sentencepiece_model_pb2 as pb
 
+from millrace.llm import spiece
 from millrace.llm.spiece import MODEL, Decoder, Encoder, Pieces, decode, digest, encode
 
 
@@ -75,3 +77,25 @@ def test_operators(spark, bpe):
 def test_broken_ids_decode(bpe):
     first = [i for i in range(bpe[0].get_piece_size()) if bpe[0].id_to_piece(i) == "<0xE4>"]
     assert bpe[2].decode(np.array(first)) == "�"
+
+
+def test_words_are_looked_up_in_short_runs(bpe, monkeypatch):
+    theirs, ours, _ = bpe
+    rng = random.Random(5)
+    words = ["".join(rng.choices("etaoinshrdlu", k=rng.randint(1, 9))) for _ in range(500)]
+    texts = ["", *(" ".join(rng.choices(words, k=300)) for _ in range(1200)), *ODD, " ".join(rng.choices(words, k=60_000)), "", ""]
+    expected = ours.encode(texts)  # learns the words
+    tracemalloc.start()
+    found, ends = ours.flat(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(found, np.concatenate(expected)) and len(ends) == len(texts) and ends[-1] == len(found)
+    # 2.3 million characters: their arrays took 106 MB when all were hashed at once
+    assert peak < 60e6
+
+    monkeypatch.setattr(spiece, "RUN_CHARS", 50)  # runs of one text and of several, new words in several runs
+    assert [len(r) for r in spiece.text_runs(["", "a" * 60, "", "b" * 30, "c" * 30, ""], 50)] == [2, 2, 2] and list(spiece.text_runs([], 50)) == []
+    ours.clear()
+    some = texts[:40] + ODD
+    assert [i.tolist() for i in ours.encode(some)] == theirs.encode(some)
+    assert ours.encode(["", ""])[0].tolist() == [] and len(ours.flat([])[1]) == 0
